@@ -1,16 +1,18 @@
 """Operator 10: N-gram Jaccard join, exact, by inverted lists and a T-occurrence search (DivideSkip).
 
-1. *Frequency sketch.* Every shingle of every text is counted into a fixed number of hash cells
-   (2**22: 4 MB once reduced to one byte a cell, whatever the input). It only sets the global token
-   order, rarest cell first, so its errors cost time and never results.
-2. *Sets.* Each text gives its set size, a 128-bit signature of the set, a 256-bit parity sketch and
-   its prefix: the ``n - ceil(t n) + 1`` first tokens of that order. Linked sets share a prefix token.
+1. *Sets.* Each text gives its set size, a 128-bit signature of the set and a 256-bit parity sketch.
    Equal sets become one representative before anything is compared.
-3. *Inverted lists of prefix tokens.* Lists of one entry drop out. Each list first links its members
+2. *Part signatures.* Two linked sets differ in at most d = (1-t)/(1+t) (|A|+|B|) tokens, so of d + 1
+   parts into which a hash deals the tokens one is equal in both. Sizes fall into bands of ratio 1/t;
+   a set signs the parts for its own band and the one below, so any two sets that can link share a
+   scheme. Slack parts make sure that an equal part with tokens in it exists; a set with more empty
+   parts than slack signs the empty ones too. A signature stands for some 1/(1-t) tokens at once, so
+   frequent words and passages make no long lists, and the work grows as the input.
+3. *Inverted lists of signatures.* Lists of one entry drop out. Each list first links its members
    to its smallest member only (a star). Verified stars give provisional components; then only
    members of a list that are in different components are compared, within bounds on set size and on
-   the parity sketch (popcount(a xor b) <= |A xor B| <= (1-t)/(1+t)(|A|+|B|)), so a group of
-   thousands of near copies costs a star and not all its pairs, and no link between components is lost.
+   the parity sketch (popcount(a xor b) <= |A xor B|), so a group of thousands of near copies costs
+   a star and not all its pairs, and no link between components is lost.
 4. *T-occurrence search.* Candidates gather by their query (hubs with many are cut into bounded
    blocks). In a block the candidates' shingles form inverted lists; the query's lists are divided
    into long and short: short ones are heap-merged, long ones probed by binary search, and the
@@ -21,7 +23,7 @@
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -31,15 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagwise.llm.shingles import mix, shingle_hashes, shingle_set
+from lagwise.llm.shingles import mix, shingle_set
 from lagwise.operators.graph import attach_group, connected_components
 from lagwise.plans.scratch import materialize
 
-SKETCH_BITS = 22
-_PAGE = 4096  # cells in a row of the sketch
 BROADCAST_ROWS = 2_000_000  # ids; beyond it, a shuffled join
 BLOCK_SHINGLES = 300_000  # of candidates that meet in one verification block
-_SETS = "id long, n int, s1 long, s2 long, b0 long, b1 long, b2 long, b3 long, prefix array<long>"
+_PART = np.uint64(0x5851F42D4C957F2D)
+_SETS = "id long, n int, s1 long, s2 long, b0 long, b1 long, b2 long, b3 long, signs array<long>"
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
@@ -47,77 +48,74 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
         yield i, t or b""
 
 
-def frequency_sketch(rows: DataFrame, width: int, bits: int = SKETCH_BITS) -> np.ndarray:
-    """log2 counts of shingles by cell, one byte each; ``rows`` is (id, text)."""
-
-    def count(batches):
-        cells = np.zeros(1 << bits, np.int64)
-        held, size = [], 0
-        for batch in batches:
-            for _, text in _texts(batch):
-                held.append(shingle_hashes(text, width) >> np.uint64(64 - bits))
-                size += len(held[-1])
-                if size > 1 << 20:
-                    cells += np.bincount(np.concatenate(held).astype(np.int64), minlength=1 << bits)
-                    held, size = [], 0
-        if held:
-            cells += np.bincount(np.concatenate(held).astype(np.int64), minlength=1 << bits)
-        pages = cells.reshape(-1, _PAGE).astype("<u4" if cells.max() < 2**32 else "<u8")
-        full = np.flatnonzero(pages.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([pages[i].tobytes() for i in full], pa.binary())], ["page", "cells"])
-
-    def total(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for page, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x = np.frombuffer(raw, "<u4" if len(raw) == 4 * _PAGE else "<u8").astype(np.int64)
-                sums[page] = sums[page] + x if page in sums else x
-        logs = {p: np.ceil(np.log2(1.0 + x)).astype(np.uint8).tobytes() for p, x in sums.items()}
-        yield pa.RecordBatch.from_arrays([pa.array(list(logs), pa.int32()), pa.array(list(logs.values()), pa.binary())], ["page", "cells"])
-
-    parts = rows.mapInArrow(count, "page int, cells binary").repartition("page").mapInArrow(total, "page int, cells binary")
-    out = np.zeros(1 << bits, np.uint8)
-    for page, raw in parts.collect():  # at most 2**bits bytes in all
-        out[page * _PAGE : (page + 1) * _PAGE] = np.frombuffer(raw, np.uint8)
-    return out
-
-
 def _needed(t: Fraction, total):
     """Smallest overlap of two sets of ``total`` members together whose Jaccard similarity reaches ``t``."""
     p, q = t.numerator, t.denominator + t.numerator
     return -(-(p * total) // q)
 
 
-def shingle_sets(rows: DataFrame, width: int, t: Fraction, order: np.ndarray) -> DataFrame:
-    """(id, text) to one row of ``_SETS`` each: size, signature, parity sketch and prefix of the shingle set."""
-    shared, bits = rows.sparkSession.sparkContext.broadcast(order), int(len(order)).bit_length() - 1
+class Bands:
+    """Size bands and the number of parts of each one's scheme, extended as larger sets come."""
+
+    def __init__(self, t: Fraction):
+        self.t, self.lower = t, [0, 1]
+
+    def of(self, n: int) -> int:
+        while self.lower[-1] <= n:
+            self.lower.append(self.lower[-1] * self.t.denominator // self.t.numerator + 1)
+        return bisect_right(self.lower, n) - 1
+
+    def parts(self, band: int) -> tuple[int, int]:
+        """(parts, slack) for pairs of which the smaller set is in ``band``; none where only equal sets can link."""
+        self.of(self.lower[min(band, len(self.lower) - 1)])
+        largest = self.lower[band + 1] - 1
+        differ = (self.t.denominator - self.t.numerator) * largest // self.t.numerator  # (1-t)/(1+t) * largest * (1 + 1/t)
+        slack = 1 + differ // 10
+        return (differ + 1 + slack, slack) if differ else (0, 0)
+
+
+def part_signatures(tokens: np.ndarray, bands: Bands) -> np.ndarray:
+    """Signatures of the parts of one set under its own band's scheme and the one below."""
+    band, out = bands.of(len(tokens)), []
+    spread, value = tokens >> np.uint64(32), mix(tokens + _PART)
+    for scheme in (band, band - 1):
+        parts, slack = bands.parts(scheme) if scheme > 0 else (0, 0)
+        if not parts:
+            continue
+        part = (spread * np.uint64(parts)) >> np.uint64(32)  # ascending, as the tokens are
+        first = np.flatnonzero(np.diff(part, prepend=np.uint64(parts)))
+        named = mix(part[first] + np.uint64(scheme << 32)) ^ np.add.reduceat(value, first)
+        out.append(mix(named))
+        if parts - len(first) > slack:
+            empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[first])
+            out.append(mix(mix(empty + np.uint64(scheme << 32))))
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def shingle_sets(rows: DataFrame, width: int, t: Fraction) -> DataFrame:
+    """(id, text) to one row of ``_SETS`` each: size, signature, parity sketch and part signatures of the shingle set."""
 
     def run(batches):
-        rank = shared.value
+        bands = Bands(t)
         for batch in batches:
-            ids, nums, sketch, prefixes, lengths = [], [], [], [], []
+            ids, nums, sketch, signs = [], [], [], []
             for i, text in _texts(batch):
                 tokens = shingle_set(text, width)
                 n = len(tokens)
-                other = mix(tokens ^ np.uint64(0x5851F42D4C957F2D))
+                other = mix(tokens ^ _PART)
                 ids.append(i)
                 nums.append((n, int(tokens.sum().astype(np.int64)) if n else 0, int(other.sum().astype(np.int64)) if n else 0))
                 parity = np.bincount((other >> np.uint64(56)).astype(np.int64), minlength=256) & 1
                 sketch.append(np.packbits(parity.astype(np.uint8)).view(np.int64))
-                keep = n - -(-t.numerator * n // t.denominator) + 1 if n else 0
-                if keep:
-                    level = rank[(tokens >> np.uint64(64 - bits)).astype(np.int64)]
-                    tokens = tokens[np.lexsort((tokens, level))[:keep]]
-                prefixes.append(tokens.view(np.int64))
-                lengths.append(keep)
+                signs.append(part_signatures(tokens, bands).view(np.int64) if n else np.empty(0, np.int64))
             if not ids:
                 continue
             num, sk = np.array(nums, np.int64).reshape(-1, 3), np.array(sketch, np.int64).reshape(-1, 4)
-            offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-            prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes), pa.int64()))
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in signs])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(signs), pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(num[:, 0].astype(np.int32)), pa.array(num[:, 1]), pa.array(num[:, 2]), *[pa.array(np.ascontiguousarray(sk[:, k])) for k in range(4)], prefix],
-                ["id", "n", "s1", "s2", "b0", "b1", "b2", "b3", "prefix"],
+                [pa.array(ids, pa.int64()), pa.array(num[:, 0].astype(np.int32)), pa.array(num[:, 1]), pa.array(num[:, 2]), *[pa.array(np.ascontiguousarray(sk[:, k])) for k in range(4)], lists],
+                ["id", "n", "s1", "s2", "b0", "b1", "b2", "b3", "signs"],
             )
 
     return rows.mapInArrow(run, _SETS)
@@ -206,30 +204,26 @@ def near(a: str, b: str, t: Fraction) -> str:
     return f"{q} * least({a}.n, {b}.n) >= {p} * greatest({a}.n, {b}.n) AND {q + p} * ({differ}) <= {q - p} * ({a}.n + {b}.n)"
 
 
-def jaccard_links(sets: DataFrame, texts: DataFrame, width: int, t: Fraction) -> tuple[DataFrame, DataFrame]:
-    """(representatives, components of linked representatives); ``sets`` must be a written table."""
-    reps = sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("b0", "b1", "b2", "b3", "prefix")])
-    reps = materialize(reps, "reps")
-    sizes = reps.select("id", "n", "b0", "b1", "b2", "b3")
-    posting = reps.select(F.explode("prefix").alias("token"), "id", "n")
-    lists = posting.groupBy("token").agg(F.count("*").alias("df"), F.min("id").alias("hub")).where("df > 1").select("token", "hub")
-    posting = materialize(posting.join(lists, "token"), "posting")
+def jaccard_links(reps: DataFrame, texts: DataFrame, width: int, t: Fraction) -> DataFrame:
+    """Components of linked representatives (rows of ``_SETS`` with distinct sets)."""
+    sizes = materialize(reps.select("id", "n", "b0", "b1", "b2", "b3").dropDuplicates(["id"]), "sizes")
+    posting = reps.select(F.explode("signs").alias("sign"), "id")
+    lists = posting.groupBy("sign").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub <> top").select("sign", "hub")
+    posting = materialize(posting.join(lists, "sign"), "posting")
 
     star = posting.where("id <> hub").select("hub", "id").distinct()
     star = star.alias("p").join(sizes.alias("a"), F.col("a.id") == F.col("p.id")).join(sizes.alias("b"), F.col("b.id") == F.col("p.hub")).where(near("a", "b", t)).select("p.hub", "p.id")
     links = materialize(verify(materialize(star, "pairs"), sizes, texts, width, t), "links")
     label = materialize(connected_components(links), "label")
 
-    named = posting.join(label, posting.id == label.node, "left").select("token", "id", "n", F.coalesce("component", "id").alias("label"))
+    named = posting.join(label, posting.id == label.node, "left").select("sign", "id", F.coalesce("component", "id").alias("label"))
     named = materialize(named, "named")
-    mixed = named.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("token")
-    open_ = named.join(mixed, "token").join(sizes.drop("n"), "id")
-    open_ = materialize(open_, "open")
-    more = open_.alias("a").join(open_.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.label") != F.col("b.label")) & F.expr(near("a", "b", t)))
+    mixed = named.groupBy("sign").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("sign")
+    open_ = materialize(named.join(mixed, "sign").join(sizes, "id"), "open")
+    more = open_.alias("a").join(open_.alias("b"), (F.col("a.sign") == F.col("b.sign")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.label") != F.col("b.label")) & F.expr(near("a", "b", t)))
     more = more.select(F.col("a.id").alias("hub"), F.col("b.id").alias("id")).distinct()
     rest = materialize(verify(materialize(more, "pairs"), sizes, texts, width, t), "links")
-    joined = links.unionByName(rest)
-    return reps, materialize(connected_components(joined), "label")
+    return materialize(connected_components(links.unionByName(rest)), "label")
 
 
 def ngram_jaccard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: str = "0.8") -> DataFrame:
@@ -241,11 +235,13 @@ def ngram_jaccard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     t = Fraction(threshold)
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    order = frequency_sketch(texts, width)
-    sets = materialize(shingle_sets(texts, width, t, order), "sets")
-    reps, label = jaccard_links(sets.where("id IS NOT NULL"), texts.where("id IS NOT NULL"), width, t)
+    sets = materialize(shingle_sets(texts, width, t), "sets")
     keys = sets.where("n > 0 AND id IS NOT NULL").select("id", "n", "s1", "s2")
-    whole = attach_group(keys, ["n", "s1", "s2"], F.col("id"), {"rep": F.min("id")}, {"rep": F.min("rep")})
+    whole = materialize(attach_group(keys, ["n", "s1", "s2"], F.col("id"), {"rep": F.min("id")}, {"rep": F.min("rep")}).select("id", "n", "rep"), "whole")
+    others = whole.where("id <> rep").select("id").distinct()
+    few = others.count() <= BROADCAST_ROWS
+    reps = sets.where("n > 0 AND id IS NOT NULL").join(F.broadcast(others) if few else others, "id", "left_anti")
+    label = jaccard_links(reps, texts.where("id IS NOT NULL"), width, t)
     linked = whole.join(label, whole.rep == label.node, "left").select("id", "n", F.coalesce("component", "rep").alias("component_id"))
     loose = sets.where("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("component_id"))
     return linked.unionByName(loose).select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
