@@ -3,9 +3,13 @@
 Texts are cut into sentences (after ``. ! ?`` before white space, and at line ends; sentences of over 30
 words also after words that a hash picks, so that unpunctuated text has borders that move with it).
 For each sentence the shortest run of at least two sentences and 20 words that begins with it, and the one
-that ends with it, are hashed (128 bits over lower-cased words). Runs are counted over all documents;
-of a run that occurs again, the occurrence in the smallest id, and there the first, stays. Sentences
-covered by any other occurrence are removed.
+that ends with it, are hashed (128 bits over lower-cased words). Of a run that occurs again anywhere,
+the occurrence in the smallest id, and there the first, stays. Sentences covered by any other
+occurrence are removed.
+
+Each task first combines the runs of ``WINDOW`` spans at a time: all but the first of equal ones are
+surely not the first of all, and are dealt out evenly. Only one row a window and hash meets at its
+hash, however many documents share a passage; sorted partitions then stream past, holding nothing.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -21,7 +26,8 @@ from pyspark.sql import functions as F
 from lagwise.plans.scratch import materialize
 
 LEAST_SENTENCES, LEAST_WORDS, LONG_SENTENCE = 2, 20, 30
-BROADCAST_ROWS = 2_000_000
+WINDOW = 400_000
+BROADCAST_IDS = 2_000_000  # some 50 MB
 _SENTENCE = re.compile(r"[^\n]*?(?:[.!?]+(?=\s)\s*|\n\s*|\Z)")
 _WORD = re.compile(r"\S+\s*")
 
@@ -42,7 +48,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def runs(text: str) -> Iterator[tuple[int, int, int]]:
+def runs(text: str) -> Iterator[tuple[bytes, int, int]]:
     """(hash, first sentence, end) of each run, those that repeat within the text included."""
     words = [text[a:b].lower().split() for a, b in sentences(text)]
     kept = [k for k, w in enumerate(words) if w]  # blank ones neither count nor break a run
@@ -66,25 +72,52 @@ def runs(text: str) -> Iterator[tuple[int, int, int]]:
             i += 1
         seen.add((i, j))
     for i, j in sorted(seen):
-        yield xxhash.xxh3_128_intdigest(b"".join(marks[i:j])), kept[i], kept[j - 1] + 1
+        yield xxhash.xxh3_128_digest(b"".join(marks[i:j])), kept[i], kept[j - 1] + 1
+
 
+_SPANS = "h1 long, h2 long, id long, place long, spread int"
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+
+def _first_of_equal(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    return np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]) if len(h1) else np.empty(0, bool)
 
 
 def _spans(batches):
-    names = ["h1", "h2", "id", "first", "end", "again"]
+    """Runs as ``_SPANS``; ``spread`` is 0 for the first of equal ones of a window, else a number over 0 that deals the row out."""
+
+    def combined(rows: list[tuple[bytes, int, int]]) -> pa.RecordBatch:
+        h = np.frombuffer(b"".join(r[0] for r in rows), ">i8").reshape(-1, 2).astype(np.int64)
+        ids, places = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
+        order = np.lexsort((places, ids, h[:, 1], h[:, 0]))
+        h, ids, places = h[order], ids[order], places[order]
+        lead = _first_of_equal(h[:, 0], h[:, 1])
+        spread = np.where(lead, 0, 1 + np.arange(len(h)) % 65521).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1])), pa.array(ids), pa.array(places), pa.array(spread)], ["h1", "h2", "id", "place", "spread"])
+
+    held: list[tuple[bytes, int, int]] = []
     for batch in batches:
-        cols: tuple[list, ...] = ([], [], [], [], [], [])
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own: set[int] = set()
-            for h, first, end in runs(text):
-                for c, v in zip(cols, (_signed(h >> 64), _signed(h & (1 << 64) - 1), i, first, end, h in own), strict=True):
-                    c.append(v)
-                own.add(h)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+            held += [(h, i, first << 32 | end) for h, first, end in runs(text)]
+            if len(held) >= WINDOW:
+                yield combined(held)
+                held = []
+    if held:
+        yield combined(held)
+
+
+def _later(batches):
+    """Of rows sorted by hash, id and place: those that are not the first of their hash."""
+    last = None
+    for batch in batches:
+        h1, h2, spread = (batch.column(k).to_numpy() for k in (0, 1, 4))
+        if not len(h1):
+            continue
+        lead = _first_of_equal(h1, h2)
+        lead[0] = (h1[0], h2[0]) != last
+        last = (h1[-1], h2[-1])
+        gone = pa.array(~lead | (spread > 0))
+        place = batch.column(3).filter(gone).to_numpy()
+        yield pa.RecordBatch.from_arrays([batch.column(2).filter(gone), pa.array((place >> 32).astype(np.int32)), pa.array((place & 0xFFFFFFFF).astype(np.int32))], ["id", "first", "end"])
 
 
 def _cut(batches):
@@ -102,13 +135,8 @@ def _cut(batches):
 def covered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, gone): by document, the runs of sentences that are not the first occurrence."""
     rows = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    spans = materialize(rows.mapInArrow(_spans, "h1 long, h2 long, id long, first int, end int, again boolean"), "spans")
-    # within a document only the first of equal runs goes on, so that the smallest id tells the first of all
-    often = spans.where("NOT again").groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("id").alias("keeper")).where("n > 1").select("h1", "h2", "keeper")
-    often = materialize(often, "often")
-    few = often.count() <= BROADCAST_ROWS
-    later = spans.where("NOT again").join(F.broadcast(often) if few else often, ["h1", "h2"]).where("id <> keeper").select("id", "first", "end")
-    gone = later.unionByName(spans.where("again").select("id", "first", "end")).distinct()
+    spans = rows.mapInArrow(_spans, _SPANS).repartition("h1", "h2", "spread").sortWithinPartitions("h1", "h2", "spread", "id", "place")
+    gone = spans.mapInArrow(_later, "id long, first int, end int").distinct()
     return gone.groupBy("id").agg(F.collect_list(F.struct("first", "end")).alias("gone"))
 
 
@@ -121,12 +149,14 @@ def drop_repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     df = df.drop("removed")
     gone = materialize(covered(df, id_col, text_col), "gone")
-    few = gone.count() <= BROADCAST_ROWS // 8  # lists; some hundred bytes each
-    both = df.withColumn("_key", F.col(id_col).cast("long")).join((F.broadcast(gone) if few else gone).withColumnRenamed("id", "_key"), "_key", "left")
-    cut = both.where("gone IS NOT NULL")
+    ids = gone.select(F.col("id").alias("_key"))
+    hint = F.broadcast if ids.count() <= BROADCAST_IDS else (lambda x: x)
+    keyed = df.withColumn("_key", F.col(id_col).cast("long"))
+    same = keyed.join(hint(ids), "_key", "left_anti")  # rows without repeats pass straight through
+    cut = keyed.join(hint(ids), "_key", "left_semi").join(gone.withColumnRenamed("id", "_key"), "_key")
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
     schema = f"_row {cut.select(row).schema[0].dataType.simpleString()}, _text string, removed array<struct<start:int,end:int>>"
     changed = cut.select(row, F.col(text_col), "gone").mapInArrow(_cut, schema)
     changed = changed.select(*[(F.col("_text") if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in df.columns], "removed")
-    same = both.where("gone IS NULL").select(*[F.col(f"`{c}`") for c in df.columns], F.expr("cast(array() AS array<struct<start:int,end:int>>)").alias("removed"))
+    same = same.select(*[F.col(f"`{c}`") for c in df.columns], F.expr("cast(array() AS array<struct<start:int,end:int>>)").alias("removed"))
     return same.unionByName(changed)
