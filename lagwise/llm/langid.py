@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 UNDETERMINED = "und"
 SMOOTHING = 0.5
 SEGMENT = 32  # longer runs of letters are scored in segments of so many characters
-_KEPT_WORDS = 200_000
+_KEPT_WORDS = 400_000
 _BATCH_WORDS = 8192
 _LETTERS = re.compile(r"[^\W\d_]+")
 _MARK = "▁"
@@ -41,7 +42,7 @@ class Vocabulary:
         self.normal = np.zeros(self.size, np.int64)
         self.normal[plain] = plain  # bytes and others count as piece 0
         self.finder = ahocorasick.Automaton()
-        self.length = [0] * self.size
+        self.length = np.zeros(self.size, np.int64)
         self.characters = set()
         for i in plain:
             piece = self.model.id_to_piece(i)
@@ -66,7 +67,14 @@ class Model:
 
 
 def words_of(text: str | None) -> list[str]:
-    return _LETTERS.findall(text.lower()) if text else []
+    """Runs of letters, lower-cased, in no particular order: most are whole words between white space."""
+    if not text:
+        return []
+    parts = text.lower().split()
+    whole = [w for w in parts if w.isalpha()]
+    if len(whole) < len(parts):
+        whole += _LETTERS.findall(" ".join([w for w in parts if not w.isalpha()]))
+    return whole
 
 
 def train(rows: DataFrame, path: str | None = None) -> Model:
@@ -121,12 +129,19 @@ class Scorer:
                 segments.append(whole[a : a + SEGMENT])
                 owner.append(k)
         length, known = self.vocab.length, self.vocab.characters
-        found: list[tuple[int, int, int, int]] = []
+        hits, strange = [], []
         for k, s in enumerate(segments):
-            found += [(end + 1, k, end + 1 - length[i], i) for end, i in self.vocab.finder.iter(s)]
-            found += [(at + 1, k, at, 0) for at, c in enumerate(s) if c not in known]
-        edges = np.array(found, np.int64).reshape(-1, 4)
-        edges = edges[np.lexsort((edges[:, 2], edges[:, 1], edges[:, 0]))]
+            hits.append(list(self.vocab.finder.iter(s)))
+            if not known.issuperset(s):
+                strange += [(at + 1, k, at, 0) for at, c in enumerate(s) if c not in known]
+        counts = np.fromiter(map(len, hits), np.int64, len(hits))
+        pairs = np.fromiter(chain.from_iterable(chain.from_iterable(hits)), np.int64, 2 * int(counts.sum())).reshape(-1, 2)
+        ends, pieces = pairs[:, 0] + 1, pairs[:, 1]
+        edges = np.stack([ends, np.repeat(np.arange(len(hits)), counts), ends - length[pieces], pieces], axis=1)
+        if strange:
+            edges = np.concatenate([edges, np.array(strange, np.int64)])
+            edges = edges[np.argsort(edges[:, 1], kind="stable")]
+        edges = edges[np.argsort(edges[:, 0].astype(np.int16), kind="stable")]  # by end, then segment
         p = self.model.probabilities
         alpha = np.zeros((len(segments), SEGMENT + 1, p.shape[1]))
         alpha[:, 0] = 1
