@@ -8,7 +8,9 @@
    scheme. Slack parts make sure that an equal part with tokens in it exists; a set with more empty
    parts than slack signs the empty ones too. A signature stands for some 1/(1-t) tokens at once, so
    frequent words and passages make no long lists, and the work grows as the input.
-3. *Inverted lists of signatures.* Lists of one entry drop out. Each list first links its members
+3. *Inverted lists of signatures.* Each task combines ``WINDOW`` entries at a time: all but the first of
+   equal signatures link to it and are dealt out evenly, so one entry a window and signature meets at the
+   signature, in sorted partitions that stream past. Lists of one entry drop out. Each list first links its members
    to its smallest member only (a star). Verified stars give provisional components; then only
    members of a list that are in different components are compared, within bounds on set size and on
    the parity sketch (popcount(a xor b) <= |A xor B|), so a group of thousands of near copies costs
@@ -38,9 +40,10 @@ from lagwise.operators.graph import attach_group, connected_components
 from lagwise.plans.scratch import materialize
 
 BROADCAST_ROWS = 2_000_000  # ids; beyond it, a shuffled join
+WINDOW = 1_000_000  # entries combined in a task before the shuffle
 BLOCK_SHINGLES = 300_000  # of candidates that meet in one verification block
 _PART = np.uint64(0x5851F42D4C957F2D)
-_SETS = "id long, n int, s1 long, s2 long, b0 long, b1 long, b2 long, b3 long, signs array<long>"
+_SETS = "id long, n int, s1 long, s2 long, b0 long, b1 long, b2 long, b3 long"
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
@@ -92,35 +95,92 @@ def part_signatures(tokens: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def shingle_sets(rows: DataFrame, width: int, t: Fraction) -> DataFrame:
-    """(id, text) to one row of ``_SETS`` each: size, signature, parity sketch and part signatures of the shingle set."""
+def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
+    """(id, text) to one row of ``_SETS`` each: size, signature and parity sketch of the shingle set."""
 
     def run(batches):
-        bands = Bands(t)
         for batch in batches:
-            ids, nums, sketch, signs = [], [], [], []
+            ids, nums, sketch = [], [], []
             for i, text in _texts(batch):
                 tokens = shingle_set(text, width)
-                n = len(tokens)
                 other = mix(tokens ^ _PART)
                 ids.append(i)
-                nums.append((n, int(tokens.sum().astype(np.int64)) if n else 0, int(other.sum().astype(np.int64)) if n else 0))
+                nums.append((len(tokens), int(tokens.sum(dtype=np.uint64).astype(np.int64)), int(other.sum(dtype=np.uint64).astype(np.int64))))
                 parity = np.bincount((other >> np.uint64(56)).astype(np.int64), minlength=256) & 1
                 sketch.append(np.packbits(parity.astype(np.uint8)).view(np.int64))
-                signs.append(part_signatures(tokens, bands).view(np.int64) if n else np.empty(0, np.int64))
-            if not ids:
-                continue
             num, sk = np.array(nums, np.int64).reshape(-1, 3), np.array(sketch, np.int64).reshape(-1, 4)
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in signs])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(signs), pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(num[:, 0].astype(np.int32)), pa.array(num[:, 1]), pa.array(num[:, 2]), *[pa.array(np.ascontiguousarray(sk[:, k])) for k in range(4)], lists],
-                ["id", "n", "s1", "s2", "b0", "b1", "b2", "b3", "signs"],
+                [pa.array(ids, pa.int64()), pa.array(num[:, 0].astype(np.int32)), pa.array(num[:, 1]), pa.array(num[:, 2]), *[pa.array(np.ascontiguousarray(sk[:, k])) for k in range(4)]],
+                ["id", "n", "s1", "s2", "b0", "b1", "b2", "b3"],
             )
 
     return rows.mapInArrow(run, _SETS)
 
 
+def _changes(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([[True], x[1:] != x[:-1]]) if len(x) else np.empty(0, bool)
+
+
+def _entries(width: int, t: Fraction):
+    """(id, text) to (sign, id, hub): of equal signatures in a window, the first has its own id as hub and the others that id; single ones null."""
+
+    def combined(signs: list[np.ndarray], ids: list[int]) -> pa.RecordBatch:
+        sign, own = np.concatenate(signs), np.repeat(np.array(ids, np.int64), [len(x) for x in signs])
+        order = np.lexsort((own, sign))
+        sign, own = sign[order], own[order]
+        lead = _changes(sign)
+        first = np.flatnonzero(lead)
+        counts = np.diff(np.append(first, len(sign)))
+        return pa.RecordBatch.from_arrays([pa.array(sign), pa.array(own), pa.array(np.repeat(own[first], counts), mask=np.repeat(counts == 1, counts))], ["sign", "id", "hub"])
+
+    def run(batches):
+        bands, signs, ids, held = Bands(t), [], [], 0
+        for batch in batches:
+            for i, text in _texts(batch):
+                signs.append(part_signatures(shingle_set(text, width), bands).view(np.int64))
+                ids.append(i)
+                held += len(signs[-1])
+                if held >= WINDOW:
+                    yield combined(signs, ids)
+                    signs, ids, held = [], [], 0
+        if held:
+            yield combined(signs, ids)
+
+    return run
+
+
+def _shared(batches):
+    """From entries sorted by signature and id, those of lists of two or more, with the smallest id of the list (or window) as hub."""
+    last: tuple[int, int, bool] | None = None  # signature, hub and whether its last entry went out
+    for batch in batches:
+        sign, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        alone = batch.column(2).is_null().to_numpy(zero_copy_only=False)
+        given = batch.column(2).fill_null(0).to_numpy()
+        follows = ~alone & (given != own)
+        out = [(sign[follows], own[follows], given[follows])]
+        sign, own, alone = sign[~follows], own[~follows], alone[~follows]
+        if len(sign):
+            first = np.flatnonzero(_changes(sign))
+            counts = np.diff(np.append(first, len(sign)))
+            hub, send = own[first].copy(), (counts > 1) | ~alone[first]
+            if last is not None and last[0] == sign[0]:
+                hub[0], send[0] = last[1], True
+                if not last[2]:
+                    out.append((sign[:1], np.array([last[1]]), np.array([last[1]])))
+            out.append(tuple(np.repeat(x, counts)[np.repeat(send, counts)] if x is not own else own[np.repeat(send, counts)] for x in (sign[first], own, hub)))
+            last = (int(sign[-1]), int(hub[-1]), bool(send[-1]))
+        cols = [np.concatenate([o[k] for o in out]) for k in range(3)]
+        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["sign", "id", "hub"])
+
+
+def shared_signatures(rows: DataFrame, width: int, t: Fraction) -> DataFrame:
+    """(sign, id, hub) of the signatures that two or more of the texts share; one shuffle."""
+    schema = "sign long, id long, hub long"
+    entries = rows.mapInArrow(_entries(width, t), schema)
+    place = F.when(F.col("hub").isNull() | (F.col("hub") == F.col("id")), F.col("sign")).otherwise(F.xxhash64("sign", "id"))
+    return entries.repartition(place).sortWithinPartitions("sign", "id").mapInArrow(_shared, schema)
+
+
 def t_occurrence(query: np.ndarray, lists: dict[int, list[int]], needed: dict[int, int]) -> dict[int, int]:
     """DivideSkip: overlap of ``query`` with each candidate that reaches its own ``needed`` overlap.
 
@@ -204,12 +264,9 @@ def near(a: str, b: str, t: Fraction) -> str:
     return f"{q} * least({a}.n, {b}.n) >= {p} * greatest({a}.n, {b}.n) AND {q + p} * ({differ}) <= {q - p} * ({a}.n + {b}.n)"
 
 
-def jaccard_links(reps: DataFrame, texts: DataFrame, width: int, t: Fraction) -> DataFrame:
-    """Components of linked representatives (rows of ``_SETS`` with distinct sets)."""
-    sizes = materialize(reps.select("id", "n", "b0", "b1", "b2", "b3").dropDuplicates(["id"]), "sizes")
-    posting = reps.select(F.explode("signs").alias("sign"), "id")
-    lists = posting.groupBy("sign").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub <> top").select("sign", "hub")
-    posting = materialize(posting.join(lists, "sign"), "posting")
+def jaccard_links(sizes: DataFrame, texts: DataFrame, width: int, t: Fraction) -> DataFrame:
+    """Components of linked texts with distinct sets; ``sizes`` has their rows of ``_SETS``."""
+    posting = materialize(shared_signatures(texts, width, t), "posting")
 
     star = posting.where("id <> hub").select("hub", "id").distinct()
     star = star.alias("p").join(sizes.alias("a"), F.col("a.id") == F.col("p.id")).join(sizes.alias("b"), F.col("b.id") == F.col("p.hub")).where(near("a", "b", t)).select("p.hub", "p.id")
@@ -235,13 +292,14 @@ def ngram_jaccard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     t = Fraction(threshold)
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sets = materialize(shingle_sets(texts, width, t), "sets")
+    sets = materialize(shingle_sets(texts, width), "sets")
     keys = sets.where("n > 0 AND id IS NOT NULL").select("id", "n", "s1", "s2")
     whole = materialize(attach_group(keys, ["n", "s1", "s2"], F.col("id"), {"rep": F.min("id")}, {"rep": F.min("rep")}).select("id", "n", "rep"), "whole")
     others = whole.where("id <> rep").select("id").distinct()
-    few = others.count() <= BROADCAST_ROWS
-    reps = sets.where("n > 0 AND id IS NOT NULL").join(F.broadcast(others) if few else others, "id", "left_anti")
-    label = jaccard_links(reps, texts.where("id IS NOT NULL"), width, t)
+    hint = F.broadcast if others.count() <= BROADCAST_ROWS else (lambda x: x)
+    sizes = sets.where("n > 0 AND id IS NOT NULL").join(hint(others), "id", "left_anti").select("id", "n", "b0", "b1", "b2", "b3").dropDuplicates(["id"])
+    single = texts.where("id IS NOT NULL").join(hint(others), "id", "left_anti")
+    label = jaccard_links(materialize(sizes, "sizes"), single, width, t)
     linked = whole.join(label, whole.rep == label.node, "left").select("id", "n", F.coalesce("component", "rep").alias("component_id"))
     loose = sets.where("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("component_id"))
     return linked.unionByName(loose).select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
