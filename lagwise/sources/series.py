@@ -38,7 +38,7 @@ def read_series(spark: SparkSession, path: str, cfg: Config) -> DataFrame:
     """
     text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("event_id"), F.col("value"))
     lines = F.slice(F.split(F.regexp_replace("value", r"\r?\n\z", ""), "\r?\n"), 1, cfg.length)
-    bad = F.lit(r"^[+-]?(NaN|Infinity|(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?[dDfF]?)$")
+    bad = r"^[+-]?(NaN|Infinity|(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?[dDfF]?)$"
     text = text.withColumn("lines", F.when(F.col("value") == "", F.array().cast("array<string>")).otherwise(F.transform(lines, lambda x: F.trim(x))))
     wrong = F.exists("lines", lambda x: ~x.rlike(bad))
     number = F.transform("lines", lambda x: F.regexp_replace(x, "[dDfF]$", "").try_cast("double"))
