@@ -18,7 +18,7 @@ def save_scores(pairs: DataFrame, path: str) -> None:
 
 def dominant_lines(dominant: DataFrame) -> DataFrame:
     """K4: one ragged line per series, numbers to three decimals."""
-    number = lambda x: F.format_number(x, "#.###")
+    number = lambda x: F.call_function("format_number", x, F.lit("#.###"))
     parts = F.concat(F.array(F.col("event_id").cast("string")), F.transform("freqs", number), F.array(number(F.col("peak_amp")), number(F.col("sd"))), F.transform("band_means", number))
     return dominant.select(F.array_join(parts, "\t").alias("value"))
 
