@@ -266,7 +266,9 @@ def near(a: str, b: str, t: Fraction) -> str:
 
 def jaccard_links(sizes: DataFrame, texts: DataFrame, width: int, t: Fraction) -> DataFrame:
     """Components of linked texts with distinct sets; ``sizes`` has their rows of ``_SETS``."""
-    posting = materialize(shared_signatures(texts, width, t), "posting")
+    posting = materialize(shared_signatures(texts, width, t), "shared").drop("hub")
+    # one hub for a whole list, not one a window: fewer components are left to compare
+    posting = materialize(posting.join(posting.groupBy("sign").agg(F.min("id").alias("hub")), "sign"), "posting")
 
     star = posting.where("id <> hub").select("hub", "id").distinct()
     star = star.alias("p").join(sizes.alias("a"), F.col("a.id") == F.col("p.id")).join(sizes.alias("b"), F.col("b.id") == F.col("p.hub")).where(near("a", "b", t)).select("p.hub", "p.id")
