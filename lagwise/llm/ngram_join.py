@@ -15,6 +15,8 @@
    members of a list that are in different components are compared, within bounds on set size and on
    the parity sketch (popcount(a xor b) <= |A xor B|), so a group of thousands of near copies costs
    a star and not all its pairs, and no link between components is lost.
+   Candidates that pass get wide sketches, two to four bits a shingle, which tell sets of hundreds of
+   shingles apart by the same bound, so that few texts beside linked ones go to verification.
 4. *T-occurrence search.* Candidates gather by their query (hubs with many are cut into bounded
    blocks). In a block the candidates' shingles form inverted lists; the query's lists are divided
    into long and short: short ones are heap-merged, long ones probed by binary search, and the
@@ -42,6 +44,7 @@ from lagwise.plans.scratch import materialize
 BROADCAST_ROWS = 2_000_000  # ids; beyond it, a shuffled join
 WINDOW = 1_000_000  # entries combined in a task before the shuffle
 BLOCK_SHINGLES = 300_000  # of candidates that meet in one verification block
+WIDE_BITS = 1 << 15  # of a wide sketch at most; of larger sets it tells less, and their texts decide
 _PART = np.uint64(0x5851F42D4C957F2D)
 _SETS = "id long, n int, s1 long, s2 long, b0 long, b1 long, b2 long, b3 long"
 
@@ -246,9 +249,53 @@ def _with_ids(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")
 
 
-def verify(pairs: DataFrame, sizes: DataFrame, texts: DataFrame, width: int, t: Fraction) -> DataFrame:
+def wide_sketches(rows: DataFrame, width: int) -> DataFrame:
+    """(id, text) to (id, n, wide): set size and a parity sketch of a power of two of bits, at least 64."""
+
+    def run(batches):
+        for batch in batches:
+            ids, nums, sketch = [], [], []
+            for i, text in _texts(batch):
+                tokens = mix(shingle_set(text, width) ^ _PART)
+                power = min(WIDE_BITS.bit_length() - 1, max(6, (2 * len(tokens)).bit_length()))
+                parity = np.bincount((tokens >> np.uint64(64 - power)).astype(np.int64), minlength=1 << power) & 1
+                ids.append(i)
+                nums.append(len(tokens))
+                sketch.append(np.packbits(parity.astype(np.uint8)).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nums, pa.int32()), pa.array(sketch, pa.binary())], ["id", "n", "wide"])
+
+    return rows.mapInArrow(run, "id long, n int, wide binary")
+
+
+def sketch_difference(a: bytes, b: bytes) -> int:
+    """Places where two wide sketches differ, at most the size of the sets' difference; the longer is folded."""
+    bits = min(len(a), len(b)) * 8
+    x, y = (np.unpackbits(np.frombuffer(w, np.uint8)).reshape(bits, -1).sum(axis=1) for w in (a, b))
+    return int(np.count_nonzero((x ^ y) & 1))
+
+
+def told_apart(pairs: DataFrame, texts: DataFrame, width: int, t: Fraction) -> DataFrame:
+    """(hub, id, n) of the candidate ``pairs`` whose set sizes and wide sketches allow a link; ``n`` is the set size of ``id``."""
+    p, q = t.numerator, t.denominator
+
+    def near(n: int, m: int, a: bytes, b: bytes) -> bool:
+        return q * min(n, m) >= p * max(n, m) and (q + p) * sketch_difference(a, b) <= (q - p) * (n + m)
+
+    def run(batches):
+        for batch in batches:
+            rows = zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)
+            left = pa.array([near(*row) for row in rows], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(left) for k in range(3)], ["hub", "id", "n"])
+
+    ids = materialize(pairs.select("id").unionByName(pairs.select(F.col("hub").alias("id"))).distinct(), "ids")
+    wide = materialize(wide_sketches(_with_ids(texts, ids), width), "wide")
+    both = pairs.join(wide, "id").join(wide.select(F.col("id").alias("hub"), F.col("n").alias("m"), F.col("wide").alias("other")), "hub")
+    return both.select("hub", "id", "n", "m", "wide", "other").mapInArrow(run, "hub long, id long, n int").distinct()
+
+
+def verify(pairs: DataFrame, texts: DataFrame, width: int, t: Fraction) -> DataFrame:
     """The linked ones of candidate ``pairs`` (hub, id), by T-occurrence search in bounded blocks."""
-    pairs = pairs.join(sizes.select("id", "n"), "id")
+    pairs = materialize(told_apart(pairs, texts, width, t), "near")
     weight = pairs.groupBy("hub").agg(F.sum("n").alias("weight"))
     cut = pairs.join(weight, "hub").select("hub", "id", F.expr(f"cast(pmod(xxhash64(id), ceil(weight / {BLOCK_SHINGLES})) AS int)").alias("block"))
     members = cut.select("hub", "block", "id", F.lit(False).alias("asks")).unionByName(cut.select("hub", "block", F.col("hub").alias("id"), F.lit(True).alias("asks")).distinct())
@@ -272,7 +319,7 @@ def jaccard_links(sizes: DataFrame, texts: DataFrame, width: int, t: Fraction) -
 
     star = posting.where("id <> hub").select("hub", "id").distinct()
     star = star.alias("p").join(sizes.alias("a"), F.col("a.id") == F.col("p.id")).join(sizes.alias("b"), F.col("b.id") == F.col("p.hub")).where(near("a", "b", t)).select("p.hub", "p.id")
-    links = materialize(verify(materialize(star, "pairs"), sizes, texts, width, t), "links")
+    links = materialize(verify(materialize(star, "pairs"), texts, width, t), "links")
     label = materialize(connected_components(links), "label")
 
     named = posting.join(label, posting.id == label.node, "left").select("sign", "id", F.coalesce("component", "id").alias("label"))
@@ -281,7 +328,7 @@ def jaccard_links(sizes: DataFrame, texts: DataFrame, width: int, t: Fraction) -
     open_ = materialize(named.join(mixed, "sign").join(sizes, "id"), "open")
     more = open_.alias("a").join(open_.alias("b"), (F.col("a.sign") == F.col("b.sign")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.label") != F.col("b.label")) & F.expr(near("a", "b", t)))
     more = more.select(F.col("a.id").alias("hub"), F.col("b.id").alias("id")).distinct()
-    rest = materialize(verify(materialize(more, "pairs"), sizes, texts, width, t), "links")
+    rest = materialize(verify(materialize(more, "pairs"), texts, width, t), "links")
     return materialize(connected_components(links.unionByName(rest)), "label")
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from fractions import Fraction
 from itertools import pairwise
 
 import numpy as np
@@ -73,6 +74,25 @@ def test_jaccard_awkward(spark):
     assert ngram_join.ngram_jaccard(table(spark, [])).count() == 0
 
 
+def test_wide_sketches(spark):
+    rnd = random.Random(3)
+    texts = {0: " ".join(f"w{k}" for k in range(1000)), 1: "", 2: "one"}
+    for k in range(3, 60):
+        words = texts[0].split()[: rnd.choice((200, 700, 850, 1000))]
+        for _ in range(rnd.choice((0, 5, 20, 60, 300))):
+            words[rnd.randrange(len(words))] = f"x{rnd.randrange(10**6)}"
+        texts[k] = " ".join(words)
+    sets = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for k, t in texts.items() if (w := t.split()) or not k}
+    rows = spark.createDataFrame(list(texts.items()), "id long, text string")
+    wide = {r["id"]: (r["n"], bytes(r["wide"])) for r in ngram_join.wide_sketches(rows, 5).collect()}
+    assert wide[1][0] == 0 and all(wide[k][0] == len(s) for k, s in sets.items())
+    assert all(ngram_join.sketch_difference(wide[a][1], wide[b][1]) <= len(sets[a] ^ sets[b]) for a in sets for b in sets)
+    pairs = spark.createDataFrame([(0, k) for k in sets if k], "hub long, id long")
+    near = {r["id"] for r in ngram_join.told_apart(pairs, rows, 5, Fraction("0.8")).collect()}
+    like = {k: len(s & sets[0]) / len(s | sets[0]) for k, s in sets.items() if k}
+    assert {k for k, x in like.items() if x >= 0.8} <= near and not any(like[k] < 0.6 for k in near)
+
+
 def test_t_occurrence():
     rnd = random.Random(2)
     sets = [set(rnd.sample(range(40), 25)) for _ in range(60)]
