@@ -1,11 +1,15 @@
 """Operator 5: substring deduplication by sliding sentence spans.
 
-Texts are cut into sentences (after ``. ! ?`` before white space, and at line ends; sentences of over 30
-words also after words that a hash picks, so that unpunctuated text has borders that move with it).
-For each sentence the shortest run of at least two sentences and 20 words that begins with it, and the one
+Texts are cut into pieces: after a word ending in ``. ! ?``, and inside a sentence after the word of
+least hash of every ``CUT`` words in a row, whatever the sentence's length. Such borders depend on at most
+``CUT - 1`` words to either side, so copies share all borders but those near their ends, and two neighbours are
+at most ``CUT`` words apart. Line ends give a second set of borders beside the first; it adds runs and
+takes none away, so that a text with other line ends has the same runs by the first set.
+For each border the shortest run of at least two pieces and 20 words that begins with it, and the one
 that ends with it, are hashed (128 bits over lower-cased words). Of a run that occurs again anywhere,
-the occurrence in the smallest id, and there the first, stays. Sentences covered by any other
-occurrence are removed.
+the occurrence in the smallest id, and there the first, stays. Pieces covered by any other
+occurrence are removed. Every passage of 49 words or more has such a run wherever it is set; of a passage
+that begins or ends inside a sentence, at most ``2 * CUT - 1`` words at that end stay.
 
 Each task first combines the runs of ``WINDOW`` spans at a time: all but the first of equal ones are
 surely not the first of all, and are dealt out evenly. Only one row a window and hash meets at its
@@ -15,7 +19,7 @@ hash, however many documents share a passage; sorted partitions then stream past
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,54 +29,84 @@ from pyspark.sql import functions as F
 
 from lagwise.plans.scratch import materialize
 
-LEAST_SENTENCES, LEAST_WORDS, LONG_SENTENCE = 2, 20, 30
+LEAST_PIECES, LEAST_WORDS, CUT = 2, 20, 8
 WINDOW = 400_000
 BROADCAST_IDS = 2_000_000  # some 50 MB
-_SENTENCE = re.compile(r"[^\n]*?(?:[.!?]+(?=\s)\s*|\n\s*|\Z)")
-_WORD = re.compile(r"\S+\s*")
+_KEPT_WORDS = 1 << 20
+_GAP = re.compile(r"\s+")
+
+
+class _Hashes(dict):
+    """64-bit hash of a word in lower case; odd if the word ends a sentence."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= _KEPT_WORDS:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word.lower()) & ~1 | (word[-1] in ".!?")
+        return h
+
+
+_hashes = _Hashes()
+
+
+def _borders(hashes: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Numbers of words before each border; ``last`` is true for words that end a sentence."""
+    cut = last.copy()
+    if len(hashes) >= CUT:
+        least = CUT - 1 - np.lib.stride_tricks.sliding_window_view(hashes, CUT)[:, ::-1].argmin(axis=1)  # the last of equal ones
+        before = np.concatenate([[0], np.cumsum(last)])
+        whole = np.flatnonzero(before[CUT - 1 : -1] == before[:-CUT])  # no sentence ends before the window does
+        cut[whole + least[whole]] = True
+    cut[-1] = True
+    return np.concatenate([[0], np.flatnonzero(cut) + 1])
+
+
+def _pieces(text: str) -> tuple[list[str], np.ndarray, list[np.ndarray]]:
+    """(words, their hashes, sets of borders: by words alone, and with line ends)."""
+    words = text.split()
+    hashes = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    if not words:
+        return words, hashes, []
+    last = (hashes & np.uint64(1)).astype(bool)
+    sets = [_borders(hashes, last)]
+    if "\n" in text:
+        lines, at = last.copy(), np.cumsum([len(x.split()) for x in text.split("\n")])
+        lines[at[at > 0] - 1] = True
+        if (lines != last)[:-1].any():
+            sets.append(_borders(hashes, lines))
+    return words, hashes, sets
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
-    """(start, end) of each sentence with the white space after it; together they are the whole text."""
-    out = []
-    for m in _SENTENCE.finditer(text):
-        a, b = m.span()
-        if a == b:
-            continue
-        if b - a > 2 * LONG_SENTENCE and len(words := [w.span() for w in _WORD.finditer(text, a, b)]) > LONG_SENTENCE:
-            for s, e in words:
-                if e < b and xxhash.xxh3_64_intdigest(text[s:e].strip().lower()) % 12 == 0:
-                    out.append((a, e))
-                    a = e
-        out.append((a, b))
-    return out
-
-
-def runs(text: str) -> Iterator[tuple[bytes, int, int]]:
-    """(hash, first sentence, end) of each run, those that repeat within the text included."""
-    words = [text[a:b].lower().split() for a, b in sentences(text)]
-    kept = [k for k, w in enumerate(words) if w]  # blank ones neither count nor break a run
-    marks = [xxhash.xxh3_128_digest(" ".join(words[k])) for k in kept]
-    total = [0]
-    for k in kept:
-        total.append(total[-1] + len(words[k]))
-    seen, n, j = set(), len(kept), 0
-    for i in range(n):
-        j = max(j, i + LEAST_SENTENCES)
-        while j < n and total[j] - total[i] < LEAST_WORDS:
-            j += 1
-        if j > n or total[j] - total[i] < LEAST_WORDS:
-            break
-        seen.add((i, j))
-    i = 0
-    for j in range(LEAST_SENTENCES, n + 1):
-        if total[j] < LEAST_WORDS:
-            continue
-        while i + 1 <= j - LEAST_SENTENCES and total[j] - total[i + 1] >= LEAST_WORDS:
-            i += 1
-        seen.add((i, j))
-    for i, j in sorted(seen):
-        yield xxhash.xxh3_128_digest(b"".join(marks[i:j])), kept[i], kept[j - 1] + 1
+    """(start, end) of each piece with the white space after it; together they are the whole text."""
+    words, _, sets = _pieces(text)
+    if not words:
+        return [(0, len(text))] if text else []
+    n, gaps = len(words), _GAP.findall(text)
+    lead = len(gaps.pop(0)) if text[:1].isspace() else 0
+    gaps += [""] * (n - len(gaps))
+    ends = lead + np.cumsum(np.fromiter(map(len, words), np.int64, n) + np.fromiter(map(len, gaps), np.int64, n))
+    return list(pairwise([0, *ends[np.unique(np.concatenate(sets))[1:] - 1].tolist()]))
+
+
+def runs(text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """(hashes, 16 bytes each; first pieces; ends) of the runs, those that repeat within the text included."""
+    _, hashes, sets = _pieces(text)
+    if len(hashes) < LEAST_WORDS:
+        return b"", np.empty(0, np.int64), np.empty(0, np.int64)
+    found = []
+    for b in sets:
+        k = np.arange(len(b))
+        end = np.maximum(np.searchsorted(b, b + LEAST_WORDS), k + LEAST_PIECES)
+        first = np.minimum(np.searchsorted(b, b - LEAST_WORDS, "right") - 1, k - LEAST_PIECES)
+        i, j = np.concatenate([k[end < len(b)], first[first >= 0]]), np.concatenate([end[end < len(b)], k[first >= 0]])
+        found.append(b[i] << 32 | b[j])
+    found = np.unique(np.concatenate(found))
+    i, j = found >> 32, found & 0xFFFFFFFF
+    every = np.unique(np.concatenate(sets)) if len(sets) > 1 else sets[0]
+    raw, digest = hashes.tobytes(), xxhash.xxh3_128_digest
+    marks = b"".join([digest(raw[a:e]) for a, e in zip((8 * i).tolist(), (8 * j).tolist(), strict=True)])
+    return marks, np.searchsorted(every, i), np.searchsorted(every, j)
 
 
 _SPANS = "h1 long, h2 long, id long, place long, spread int"
@@ -85,22 +119,27 @@ def _first_of_equal(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
 def _spans(batches):
     """Runs as ``_SPANS``; ``spread`` is 0 for the first of equal ones of a window, else a number over 0 that deals the row out."""
 
-    def combined(rows: list[tuple[bytes, int, int]]) -> pa.RecordBatch:
-        h = np.frombuffer(b"".join(r[0] for r in rows), ">i8").reshape(-1, 2).astype(np.int64)
-        ids, places = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
+    def combined(rows: list[tuple[bytes, int, np.ndarray]]) -> pa.RecordBatch:
+        h = np.frombuffer(b"".join([r[0] for r in rows]), ">i8").reshape(-1, 2).astype(np.int64)
+        ids, places = np.repeat(np.array([r[1] for r in rows], np.int64), [len(r[2]) for r in rows]), np.concatenate([r[2] for r in rows])
         order = np.lexsort((places, ids, h[:, 1], h[:, 0]))
         h, ids, places = h[order], ids[order], places[order]
         lead = _first_of_equal(h[:, 0], h[:, 1])
         spread = np.where(lead, 0, 1 + np.arange(len(h)) % 65521).astype(np.int32)
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1])), pa.array(ids), pa.array(places), pa.array(spread)], ["h1", "h2", "id", "place", "spread"])
 
-    held: list[tuple[bytes, int, int]] = []
+    held: list[tuple[bytes, int, np.ndarray]] = []
+    n = 0
     for batch in batches:
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            held += [(h, i, first << 32 | end) for h, first, end in runs(text)]
-            if len(held) >= WINDOW:
+            marks, first, end = runs(text)
+            if not len(first):
+                continue
+            held.append((marks, i, first << 32 | end))
+            n += len(first)
+            if n >= WINDOW:
                 yield combined(held)
-                held = []
+                held, n = [], 0
     if held:
         yield combined(held)
 
@@ -123,17 +162,20 @@ def _later(batches):
 def _cut(batches):
     for batch in batches:
         texts, removed = [], []
-        for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            drop = {k for g in gone or () for k in range(g["first"], g["end"])}
-            spans = sentences(text) if drop else []
-            texts.append("".join(text[a:b] for k, (a, b) in enumerate(spans) if k not in drop) if drop else text)
-            removed.append([{"start": a, "end": b} for k, (a, b) in enumerate(spans) if k in drop])
+        at, flat = batch.column(2).offsets.to_numpy(), batch.column(2).values
+        first, end = (flat.field(k).to_numpy() for k in ("first", "end"))
+        for k, text in enumerate(batch.column(1).to_pylist()):
+            spans, own = sentences(text), slice(at[k], at[k + 1])
+            n = len(spans)
+            drop = (np.cumsum(np.bincount(first[own], minlength=n)[:n] - np.bincount(end[own], minlength=n)[:n]) > 0).tolist()
+            texts.append("".join([text[a:b] for (a, b), gone in zip(spans, drop, strict=True) if not gone]))
+            removed.append([{"start": a, "end": b} for (a, b), gone in zip(spans, drop, strict=True) if gone])
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(removed, kind)], ["_row", "_text", "removed"])
 
 
 def covered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, gone): by document, the runs of sentences that are not the first occurrence."""
+    """(id, gone): by document, the runs of pieces that are not the first occurrence."""
     rows = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     spans = rows.mapInArrow(_spans, _SPANS).repartition("h1", "h2", "spread").sortWithinPartitions("h1", "h2", "spread", "id", "place")
     gone = spans.mapInArrow(_later, "id long, first int, end int").distinct()
@@ -141,11 +183,11 @@ def covered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def drop_repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with ``text_col`` freed of repeated spans, plus ``removed``: (start, end) in the old text of each sentence cut.
+    """``df`` with ``text_col`` freed of repeated spans, plus ``removed``: (start, end) in the old text of each piece cut.
 
     Null texts and rows with a null id stay as they are and do not count as occurrences; a text
-    of fewer than two sentences or 20 words has no run. Rows that repeat an id keep or lose the same
-    sentences. A text may become empty. A column ``removed`` in ``df`` is replaced.
+    of fewer than 20 words has no run. Rows that repeat an id keep or lose the same
+    pieces. A text may become empty. A column ``removed`` in ``df`` is replaced.
     """
     df = df.drop("removed")
     gone = materialize(covered(df, id_col, text_col), "gone")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 from fractions import Fraction
 from itertools import pairwise
 
@@ -204,6 +205,33 @@ def test_spans(spark):
     assert span_dedup.drop_repeated_spans(table(spark, [])).count() == 0
 
 
+def test_spans_set_in_mid_sentence(spark):
+    rnd, edge = random.Random(11), 2 * span_dedup.CUT - 1
+
+    def words(n, stop):
+        return [f"v{rnd.randrange(10**9)}" + "." * (rnd.random() < stop) for _ in range(n)]
+
+    rows, where, gap = [], {}, lambda: rnd.choice((" ", " ", " ", "\n"))  # copies differ in their line ends
+    for k in range(150):
+        stop = rnd.choice((0, 0.03, 0.1))
+        passage = words(rnd.randint(51, 75), stop)
+        for i in (k, 1000 + k):
+            before, after = words(rnd.randint(0, 20), 0.05) + words(rnd.randint(1, 40), 0), words(rnd.randint(1, 40), 0) + words(rnd.randint(0, 20), 0.05)
+            rows.append((i, "".join(w + gap() for w in before + passage + after)))
+            where[i] = (len(before), len(before) + len(passage))
+    grams = Counter(g for _, t in rows for g in {tuple(w[k : k + 20]) for w in [t.split()] for k in range(len(w) - 19)})
+    text = dict(rows)
+    for r in span_dedup.drop_repeated_spans(table(spark, rows)).collect():
+        old, (a, b) = text[r["doc_id"]], where[r["doc_id"]]
+        gone = sorted(k for c in r["removed"] for k in range(len(old[: c["start"]].split()), len(old[: c["end"]].split())))
+        assert r["text"].split() == [w for k, w in enumerate(old.split()) if k not in gone]
+        if r["doc_id"] < 1000:
+            assert not gone
+        else:  # in one piece, short of the passage by a few words at most, and all of it in 20 words that repeat
+            assert gone == list(range(gone[0], gone[-1] + 1)) and a <= gone[0] <= a + edge and b - edge <= gone[-1] + 1 <= b
+            assert all(grams[tuple(old.split()[k : k + 20])] == 2 for k in range(gone[0], gone[-1] - 18))
+
+
 def test_language(spark):
     rnd = random.Random(1)
     words = {"aa": ["the", "and", "house", "water"], "bb": ["der", "und", "haus", "wasser"]}
