@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 UNDETERMINED = "und"
 SMOOTHING = 0.5
-SEGMENT = 32  # longer runs of letters are scored in segments of so many characters
+SEGMENT = 32  # after so many characters the forward vector is rescaled and carried on
 _KEPT_WORDS = 400_000
 _BATCH_WORDS = 8192
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -122,15 +122,10 @@ class Scorer:
 
     def forward(self, words: list[str]) -> np.ndarray:
         """Words by languages: the log of the sum over all segmentations."""
-        segments, owner = [], []
-        for k, word in enumerate(words):
-            whole = _MARK + word
-            for a in range(0, len(whole), SEGMENT):
-                segments.append(whole[a : a + SEGMENT])
-                owner.append(k)
+        wholes = [_MARK + word for word in words]
         length, known = self.vocab.length, self.vocab.characters
         hits, strange = [], []
-        for k, s in enumerate(segments):
+        for k, s in enumerate(wholes):
             hits.append(list(self.vocab.finder.iter(s)))
             if not known.issuperset(s):
                 strange += [(at + 1, k, at, 0) for at, c in enumerate(s) if c not in known]
@@ -141,19 +136,30 @@ class Scorer:
         if strange:
             edges = np.concatenate([edges, np.array(strange, np.int64)])
             edges = edges[np.argsort(edges[:, 1], kind="stable")]
-        edges = edges[np.argsort(edges[:, 0].astype(np.int16), kind="stable")]  # by end, then segment
-        p = self.model.probabilities
-        alpha = np.zeros((len(segments), SEGMENT + 1, p.shape[1]))
-        alpha[:, 0] = 1
-        borders = np.searchsorted(edges[:, 0], np.arange(1, SEGMENT + 2))
-        for end in range(1, SEGMENT + 1):
-            own = edges[borders[end - 1] : borders[end]]
-            if len(own):
-                first = np.flatnonzero(np.diff(own[:, 1], prepend=-1))
-                alpha[own[first, 1], end] = np.add.reduceat(alpha[own[:, 1], own[:, 2]] * p[own[:, 3]], first, axis=0)
-        last = np.log(alpha[np.arange(len(segments)), [len(s) for s in segments]])
-        out = np.zeros((len(words), p.shape[1]))
-        np.add.at(out, owner, last)
+        sizes = np.fromiter(map(len, wholes), np.int64, len(wholes))
+        longest = int(sizes.max(initial=1))
+        edges = edges[np.argsort(edges[:, 0].astype(np.int16 if longest < 1 << 15 else np.int64), kind="stable")]  # by end, then word
+        borders = np.searchsorted(edges[:, 0], np.arange(1, longest + 2))
+        p, back = self.model.probabilities, int(length.max(initial=1))
+        out, scale = np.zeros((len(words), p.shape[1])), np.zeros((len(words), p.shape[1]))
+        left, row = np.arange(len(words)), np.arange(len(words))  # words not at their end yet, and where they are in alpha
+        alpha = np.zeros((len(words), back + SEGMENT + 1, p.shape[1]))  # places base - back to base + SEGMENT
+        alpha[:, back] = 1
+        for base in range(0, longest, SEGMENT):
+            shift = back - base
+            for end in range(base + 1, min(base + SEGMENT, longest) + 1):
+                own = edges[borders[end - 1] : borders[end]]
+                if len(own):
+                    first, at = np.flatnonzero(np.diff(own[:, 1], prepend=-1)), row[own[:, 1]]
+                    alpha[at[first], end + shift] = np.add.reduceat(alpha[at, own[:, 2] + shift] * p[own[:, 3]], first, axis=0)
+            over = sizes[left] <= base + SEGMENT
+            done = left[over]
+            out[done] = np.log(alpha[row[done], sizes[done] + shift]) + scale[done]
+            left, carried = left[~over], alpha[~over, SEGMENT:]
+            row[left] = np.arange(len(left))
+            alpha = np.zeros((len(left), *alpha.shape[1:]))
+            alpha[:, : back + 1] = carried / carried[:, -1:]
+            scale[left] += np.log(carried[:, -1])
         return out
 
     def texts(self, texts: list[list[str]]) -> np.ndarray:

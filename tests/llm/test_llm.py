@@ -260,6 +260,26 @@ def test_forward_sums_all_segmentations():
         assert np.exp(langid.Scorer(model).forward([word])[0]) == pytest.approx(total("▁" + word), rel=1e-9)
 
 
+def test_forward_carries_on_over_long_words():
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    vocab, rng = langid.vocabulary(path), np.random.default_rng(6)
+    model = langid.Model(["a", "b"], rng.dirichlet(np.ones(vocab.size), 2).T, path)
+    piece = {vocab.model.id_to_piece(i): i for i in np.flatnonzero(vocab.normal)}
+
+    def total(s):  # logs, by the end of the last piece
+        logs = [np.zeros(2)]
+        for e in range(1, len(s) + 1):
+            ways = [logs[k] + np.log(model.probabilities[piece[s[k:e]]]) for k in range(max(0, e - 64), e) if s[k:e] in piece]
+            ways += [] if s[e - 1] in vocab.characters else [logs[e - 1] + np.log(model.probabilities[0])]
+            logs.append(np.logaddexp.reduce(ways, axis=0))
+        return logs[-1]
+
+    words = ["house", "a" * 31, "b" * 32, "international" * 3, "wasserhaus" * 40, "日本語のテキスト" * 9, "q龘x" * 30, "the"]
+    got = langid.Scorer(model).forward(words)
+    for word, logs in zip(words, got, strict=True):
+        assert logs == pytest.approx(total("▁" + word), rel=1e-9)
+
+
 def test_toxicity(spark):
     rnd = random.Random(6)
     rows, labels = [], []
