@@ -42,7 +42,7 @@ def run_mode(spark: SparkSession, cfg: Config, out: str = ".") -> list[str]:
     elif cfg.mode == "POSTPROCESS":
         listed = read_candidates(spark, f"{out}/{CANDIDATES}")
         sinks.write_pairs(modes.postprocess(listed, events, cfg), f"{out}/{POSTPROCESS}")
-        return [f"unresolved: {r['e1']} {r['e2']}" for r in pairs.unresolved(listed, events).limit(100).collect()]
+        return [f"unresolved: {r['e1']} {r['e2']}" for r in pairs.unresolved(listed, events).toLocalIterator()]
     elif cfg.mode == "BRUTEFORCE":
         sinks.write_pairs(modes.bruteforce(events, cfg), f"{out}/{BRUTEFORCE}")
     elif cfg.mode == "FFTPRECACHE":

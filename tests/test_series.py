@@ -152,3 +152,14 @@ def test_crop_and_truncation(spark):
 
     cut = {r["event_id"]: r for r in crop(built, cfg).collect()}
     assert cut[1]["d"] == [2.0, -9.0, 9.0] and cut[2]["d"] == [5.0, 0.0, 0.0]
+
+
+def test_every_unresolved_pair_is_reported(spark, tmp_path):
+    data, listed = tmp_path / "data", tmp_path / "xcorr.candidates"
+    data.mkdir()
+    listed.mkdir()
+    for k, name in enumerate("ab"):
+        (data / name).write_text("\n".join(f"{x:.3f}" for x in np.random.default_rng(k).normal(size=16) * 50) + "\njunk\n")
+    (listed / "part").write_text("".join(f"a\tgone{k}\t0.5\n" for k in range(150)))
+    lines = run_mode(spark, replace(read_config(conf(tmp_path, data)), mode="POSTPROCESS"), str(tmp_path))
+    assert sorted(lines) == sorted(f"unresolved: a gone{k}" for k in range(150))
