@@ -2,22 +2,27 @@
 
 1. *Sets.* Each text gives its set size, a 128-bit signature of the set and a 256-bit parity sketch.
    Equal sets become one representative before anything is compared.
-2. *Part signatures.* Two linked sets differ in at most d = (1-t)/(1+t) (|A|+|B|) tokens, so of d + 1
-   parts into which a hash deals the tokens one is equal in both. Sizes fall into bands of ratio 1/t;
-   a set signs the parts for its own band and the one below, so any two sets that can link share a
-   scheme. Slack parts make sure that an equal part with tokens in it exists; a set with more empty
-   parts than slack signs the empty ones too. A signature stands for some 1/(1-t) tokens at once, so
-   frequent words and passages make no long lists, and the work grows as the input.
-3. *Inverted lists of signatures.* Each task combines ``WINDOW`` entries at a time: all but the first of
-   equal signatures link to it and are dealt out evenly, so one entry a window and signature meets at the
-   signature, in sorted partitions that stream past. Lists of one entry drop out. Each list first links its members
-   to its smallest member only (a star). Verified stars give provisional components; then only
-   members of a list that are in different components are compared, within bounds on set size and on
-   the parity sketch (popcount(a xor b) <= |A xor B|), so a group of thousands of near copies costs
-   a star and not all its pairs, and no link between components is lost.
-   Candidates that pass get wide sketches, two to four bits a shingle, which tell sets of hundreds of
-   shingles apart by the same bound, so that few texts beside linked ones go to verification.
-4. *T-occurrence search.* Candidates gather by their query (hubs with many are cut into bounded
+2. *Inverted lists of part signatures.* A hash deals a set's tokens into parts and signs each part with
+   tokens in it. Two linked sets differ in at most d = (1-t)/t n tokens, n being the size of either, so of P
+   parts at least P - d are equal in both. Sizes fall into bands of ratio 1/t; a set signs the parts
+   for its own band and the one below, so any two sets that can link share a scheme. With e empty parts a
+   set shares at least T = P - d - e signatures with each set it links to; where that is under 1, it
+   signs its empty parts too and T is 1. A signature stands for some 1/(1-t) tokens at once,
+   so frequent words make no long lists.
+3. *Short and long lists.* Each task combines ``WINDOW`` entries at a time: all but the first of equal
+   signatures link to it and are dealt out evenly, so one entry a window and signature meets at the
+   signature, in sorted partitions that stream past. Lists of one entry drop out. Of T shared lists the
+   shortest is, for both sets, not among their own T - 1 longest: a set is taken out of its T - 1
+   longest lists, so that passages which many documents share lead nowhere unless they make up enough of
+   both. Lists with the same members count once. Each list first links its members to its most central
+   member (a star), the one whose lists are longest altogether: of a family of near copies mostly the text they come from. Verified
+   stars give provisional components, so a group of thousands of near copies costs a star and not all its pairs.
+4. *T-occurrence search.* Sets in lists that still hold different components, and only they, get
+   inverted lists of their shingles, again without each set's T - 1 longest, T being the overlap a link
+   needs. Near copies that share a template but too little for a link meet in no short list. Pairs of
+   different components that do meet, within bounds on set size and on the parity sketch
+   (popcount(a xor b) <= |A xor B|), get wide sketches, two to four bits a shingle, which tell sets of hundreds of
+   shingles apart by the same bound. No link between components is lost. Candidates gather by their query (hubs with many are cut into bounded
    blocks). In a block the candidates' shingles form inverted lists; the query's lists are divided
    into long and short: short ones are heap-merged, long ones probed by binary search, and the
    candidates that reach the overlap ``ceil(t (|A|+|B|) / (1+t))`` are kept.
@@ -34,7 +39,7 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagwise.llm.shingles import mix, shingle_set
@@ -43,10 +48,10 @@ from lagwise.plans.scratch import materialize
 
 BROADCAST_ROWS = 2_000_000  # ids; beyond it, a shuffled join
 WINDOW = 1_000_000  # entries combined in a task before the shuffle
-BLOCK_SHINGLES = 300_000  # of candidates that meet in one verification block
+BLOCK_SHINGLES = 100_000  # of candidates that meet in one verification block
 WIDE_BITS = 1 << 15  # of a wide sketch at most; of larger sets it tells less, and their texts decide
 _PART = np.uint64(0x5851F42D4C957F2D)
-_SETS = "id long, n int, s1 long, s2 long, b0 long, b1 long, b2 long, b3 long"
+_SETS = "id long, n int, s1 long, s2 long, b0 long, b1 long, b2 long, b3 long, t0 int, t1 int"
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
@@ -71,50 +76,67 @@ class Bands:
             self.lower.append(self.lower[-1] * self.t.denominator // self.t.numerator + 1)
         return bisect_right(self.lower, n) - 1
 
-    def parts(self, band: int) -> tuple[int, int]:
-        """(parts, slack) for pairs of which the smaller set is in ``band``; none where only equal sets can link."""
-        self.of(self.lower[min(band, len(self.lower) - 1)])
-        largest = self.lower[band + 1] - 1
-        differ = (self.t.denominator - self.t.numerator) * largest // self.t.numerator  # (1-t)/(1+t) * largest * (1 + 1/t)
-        slack = 1 + differ // 10
-        return (differ + 1 + slack, slack) if differ else (0, 0)
+    def differ(self, n: int) -> int:
+        """Tokens in which a set of size ``n`` and one it links to may differ."""
+        return (self.t.denominator - self.t.numerator) * n // self.t.numerator
 
+    def parts(self, scheme: int) -> tuple[int, int]:
+        """(parts, tokens that may differ) for pairs of which the smaller set is in band ``scheme``; no parts where only equal sets can link."""
+        self.of(self.lower[min(scheme, len(self.lower) - 1)])
+        differ = self.differ(self.lower[scheme + 1] - 1) if scheme > 0 else 0
+        return (differ + 2 + differ // 5, differ) if differ else (0, 0)
 
-def part_signatures(tokens: np.ndarray, bands: Bands) -> np.ndarray:
-    """Signatures of the parts of one set under its own band's scheme and the one below."""
-    band, out = bands.of(len(tokens)), []
-    spread, value = tokens >> np.uint64(32), mix(tokens + _PART)
+
+def schemes_of(tokens: np.ndarray, bands: Bands) -> Iterator[tuple[int, int, np.ndarray, int]]:
+    """(scheme, parts, part of each token, least number of shared signatures) under the set's own band and the one below."""
+    band, spread = bands.of(len(tokens)), tokens >> np.uint64(32)
     for scheme in (band, band - 1):
-        parts, slack = bands.parts(scheme) if scheme > 0 else (0, 0)
-        if not parts:
-            continue
-        part = (spread * np.uint64(parts)) >> np.uint64(32)  # ascending, as the tokens are
+        parts, differ = bands.parts(scheme)
+        if parts:
+            part = (spread * np.uint64(parts)) >> np.uint64(32)  # ascending, as the tokens are
+            used = 1 + int(np.count_nonzero(part[1:] != part[:-1]))
+            yield scheme, parts, part, used - min(differ, bands.differ(len(tokens)))
+
+
+def least_shared(tokens: np.ndarray, bands: Bands) -> list[int]:
+    """Signatures shared with any set it links to: at least so many of even schemes, and of odd ones."""
+    found = [1, 1]
+    for scheme, _, _, least in schemes_of(tokens, bands):
+        found[scheme & 1] = max(1, least)
+    return found
+
+
+def part_signatures(tokens: np.ndarray, bands: Bands) -> np.ndarray:
+    """Signatures of the parts of one set under its own band's scheme and the one below; odd where the scheme's number is."""
+    out, value = [], mix(tokens + _PART)
+    for scheme, parts, part, least in schemes_of(tokens, bands):
         first = np.flatnonzero(np.diff(part, prepend=np.uint64(parts)))
-        named = mix(part[first] + np.uint64(scheme << 32)) ^ np.add.reduceat(value, first)
-        out.append(mix(named))
-        if parts - len(first) > slack:
+        named = [mix(part[first] + np.uint64(scheme << 32)) ^ np.add.reduceat(value, first)]
+        if least < 1:
             empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[first])
-            out.append(mix(mix(empty + np.uint64(scheme << 32))))
+            named.append(mix(empty + np.uint64(scheme << 32)))
+        out.append(mix(np.concatenate(named)) & ~np.uint64(1) | np.uint64(scheme & 1))
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
-    """(id, text) to one row of ``_SETS`` each: size, signature and parity sketch of the shingle set."""
+def shingle_sets(rows: DataFrame, width: int, t: Fraction) -> DataFrame:
+    """(id, text) to one row of ``_SETS`` each: size, signature and parity sketch of the shingle set, and its least numbers of shared part signatures."""
 
     def run(batches):
+        bands = Bands(t)
         for batch in batches:
             ids, nums, sketch = [], [], []
             for i, text in _texts(batch):
                 tokens = shingle_set(text, width)
                 other = mix(tokens ^ _PART)
                 ids.append(i)
-                nums.append((len(tokens), int(tokens.sum(dtype=np.uint64).astype(np.int64)), int(other.sum(dtype=np.uint64).astype(np.int64))))
+                nums.append((len(tokens), int(tokens.sum(dtype=np.uint64).astype(np.int64)), int(other.sum(dtype=np.uint64).astype(np.int64)), *least_shared(tokens, bands)))
                 parity = np.bincount((other >> np.uint64(56)).astype(np.int64), minlength=256) & 1
                 sketch.append(np.packbits(parity.astype(np.uint8)).view(np.int64))
-            num, sk = np.array(nums, np.int64).reshape(-1, 3), np.array(sketch, np.int64).reshape(-1, 4)
+            num, sk = np.array(nums, np.int64).reshape(-1, 5), np.array(sketch, np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(num[:, 0].astype(np.int32)), pa.array(num[:, 1]), pa.array(num[:, 2]), *[pa.array(np.ascontiguousarray(sk[:, k])) for k in range(4)]],
-                ["id", "n", "s1", "s2", "b0", "b1", "b2", "b3"],
+                [pa.array(ids, pa.int64()), pa.array(num[:, 0].astype(np.int32)), pa.array(num[:, 1]), pa.array(num[:, 2]), *[pa.array(np.ascontiguousarray(sk[:, k])) for k in range(4)], *[pa.array(num[:, k].astype(np.int32)) for k in (3, 4)]],
+                ["id", "n", "s1", "s2", "b0", "b1", "b2", "b3", "t0", "t1"],
             )
 
     return rows.mapInArrow(run, _SETS)
@@ -311,11 +333,49 @@ def near(a: str, b: str, t: Fraction) -> str:
     return f"{q} * least({a}.n, {b}.n) >= {p} * greatest({a}.n, {b}.n) AND {q + p} * ({differ}) <= {q - p} * ({a}.n + {b}.n)"
 
 
+def short_lists(posting: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(sign, id, weight) of (sign, id) without each set's longest lists, T - 1 of a scheme; lists of one and those with the members of another go. ``weight``: lengths of all lists of the id."""
+    listed = posting.join(posting.groupBy("sign").agg(F.count("*").alias("len")), "sign").join(sizes.select("id", "t0", "t1"), "id")
+    longest_first = Window.partitionBy("id", F.col("sign") % 2 == 0).orderBy(F.desc("len"), "sign")
+    ranked = listed.withColumn("weight", F.sum("len").over(Window.partitionBy("id"))).withColumn("rank", F.row_number().over(longest_first))
+    short = materialize(ranked.where("rank >= if(sign % 2 = 0, t0, t1)").select("sign", "id", "weight"), "short")
+    lists = short.groupBy("sign").agg(F.count("*").alias("len"), F.expr("bit_xor(xxhash64(id))").alias("m1"), F.expr("bit_xor(xxhash64(id, 1))").alias("m2")).where("len > 1")
+    return short.join(lists.groupBy("len", "m1", "m2").agg(F.min("sign").alias("sign")).select("sign"), "sign")
+
+
+def occurring_together(sets: DataFrame, texts: DataFrame, width: int, t: Fraction) -> DataFrame:
+    """Candidate pairs (hub, id) of ``sets`` (rows of ``_SETS`` and ``label``) with different labels, by inverted lists of their shingles.
+
+    Of a set of n shingles whose overlap with another must reach T, the T - 1 longest lists are left to
+    be probed by ``verify`` and the others merged: the shortest list that two linked sets share is among
+    the n - T + 1 shortest of both. T is at least 2t/(1+t) n for the smaller set, t n for the larger.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for i, text in _texts(batch):
+                tokens = shingle_set(text, width).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(np.full(len(tokens), i))], ["token", "id"])
+
+    p, q = t.numerator, t.denominator
+    entries = _with_ids(texts, sets.select("id")).mapInArrow(run, "token long, id long")
+    shared = entries.withColumn("len", F.count("*").over(Window.partitionBy("token"))).where("len > 1").join(sets.select("id", "n"), "id")
+    own = Window.partitionBy("id")
+    placed = shared.withColumn("place", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("len", "token")))
+    short = placed.where(f"place <= n - ({p} * n + {q - 1}) DIV {q} + 1").drop("len").join(sets.drop("n", "s1", "s2", "t0", "t1"), "id")
+    short = materialize(short, "short")
+    a, b = short.where(f"place <= n - ({2 * p} * n + {q + p - 1}) DIV {q + p} + 1").alias("a"), short.alias("b")
+    # where the first shared list stands, enough of both sets must be left
+    left = f"{q + p} * (1 + least(a.n - a.place, b.n - b.place)) >= {p} * (a.n + b.n)"
+    both = a.join(b, (F.col("a.token") == F.col("b.token")) & F.expr(f"(a.n < b.n OR (a.n = b.n AND a.id < b.id)) AND a.label <> b.label AND {left} AND {near('a', 'b', t)}"))
+    return both.select(F.col("a.id").alias("hub"), F.col("b.id").alias("id")).distinct()
+
+
 def jaccard_links(sizes: DataFrame, texts: DataFrame, width: int, t: Fraction) -> DataFrame:
     """Components of linked texts with distinct sets; ``sizes`` has their rows of ``_SETS``."""
     posting = materialize(shared_signatures(texts, width, t), "shared").drop("hub")
-    # one hub for a whole list, not one a window: fewer components are left to compare
-    posting = materialize(posting.join(posting.groupBy("sign").agg(F.min("id").alias("hub")), "sign"), "posting")
+    posting = materialize(short_lists(posting, sizes), "lists")
+    posting = materialize(posting.join(posting.groupBy("sign").agg(F.expr("max_by(id, struct(weight, -id))").alias("hub")), "sign"), "posting")
 
     star = posting.where("id <> hub").select("hub", "id").distinct()
     star = star.alias("p").join(sizes.alias("a"), F.col("a.id") == F.col("p.id")).join(sizes.alias("b"), F.col("b.id") == F.col("p.hub")).where(near("a", "b", t)).select("p.hub", "p.id")
@@ -325,10 +385,8 @@ def jaccard_links(sizes: DataFrame, texts: DataFrame, width: int, t: Fraction) -
     named = posting.join(label, posting.id == label.node, "left").select("sign", "id", F.coalesce("component", "id").alias("label"))
     named = materialize(named, "named")
     mixed = named.groupBy("sign").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("sign")
-    open_ = materialize(named.join(mixed, "sign").join(sizes, "id"), "open")
-    more = open_.alias("a").join(open_.alias("b"), (F.col("a.sign") == F.col("b.sign")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.label") != F.col("b.label")) & F.expr(near("a", "b", t)))
-    more = more.select(F.col("a.id").alias("hub"), F.col("b.id").alias("id")).distinct()
-    rest = materialize(verify(materialize(more, "pairs"), texts, width, t), "links")
+    open_ = materialize(named.join(mixed, "sign").select("id", "label").distinct().join(sizes, "id"), "open")
+    rest = materialize(verify(materialize(occurring_together(open_, texts, width, t), "pairs"), texts, width, t), "links")
     return materialize(connected_components(links.unionByName(rest)), "label")
 
 
@@ -341,12 +399,12 @@ def ngram_jaccard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     t = Fraction(threshold)
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sets = materialize(shingle_sets(texts, width), "sets")
+    sets = materialize(shingle_sets(texts, width, t), "sets")
     keys = sets.where("n > 0 AND id IS NOT NULL").select("id", "n", "s1", "s2")
     whole = materialize(attach_group(keys, ["n", "s1", "s2"], F.col("id"), {"rep": F.min("id")}, {"rep": F.min("rep")}).select("id", "n", "rep"), "whole")
     others = whole.where("id <> rep").select("id").distinct()
     hint = F.broadcast if others.count() <= BROADCAST_ROWS else (lambda x: x)
-    sizes = sets.where("n > 0 AND id IS NOT NULL").join(hint(others), "id", "left_anti").select("id", "n", "b0", "b1", "b2", "b3").dropDuplicates(["id"])
+    sizes = sets.where("n > 0 AND id IS NOT NULL").join(hint(others), "id", "left_anti").select("id", "n", "b0", "b1", "b2", "b3", "t0", "t1").dropDuplicates(["id"])
     single = texts.where("id IS NOT NULL").join(hint(others), "id", "left_anti")
     label = jaccard_links(materialize(sizes, "sizes"), single, width, t)
     linked = whole.join(label, whole.rep == label.node, "left").select("id", "n", F.coalesce("component", "rep").alias("component_id"))

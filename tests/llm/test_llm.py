@@ -68,6 +68,49 @@ def test_jaccard_join(spark, corpus, width, threshold, num, den):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, (_, c) in want.items() if i == c)
 
 
+def test_jaccard_in_small_windows_and_blocks(spark, corpus, monkeypatch):
+    want = components(corpus, 1, 5, 10)
+    for name, value in (("WINDOW", 50), ("BLOCK_SHINGLES", 60)):
+        monkeypatch.setattr(ngram_join, name, value)
+    got = ngram_join.ngram_jaccard(table(spark, corpus), width=1, threshold="0.5").collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
+def test_jaccard_family_of_near_but_unlinked_texts(spark):
+    """Copies of one template that share too little for a link, beside copies that do link; the template itself is absent."""
+    rnd, template, rows = random.Random(8), [f"w{k}" for k in range(150)], []
+    for i in range(260):
+        words = list(template)
+        for _ in range(rnd.choice((1, 2, 6, 7, 8, 9))):
+            words[rnd.randrange(150)] = rnd.choice(("and", f"x{rnd.randrange(40)}", f"y{rnd.randrange(10**6)}"))
+        rows.append((i, " ".join(words)))
+    want = components(rows, 5, 8, 10)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_jaccard(table(spark, rows)).collect()}
+    assert got == want and len({c for _, c in want.values()}) > 20
+
+
+def test_part_signatures_of_linked_sets():
+    """Linked sets share at least as many signatures of a common scheme as each of them counts on."""
+    rnd = np.random.default_rng(3)
+    for t in (Fraction("0.8"), Fraction("0.9"), Fraction("0.5")):
+        bands, tried = ngram_join.Bands(t), 0
+        for _ in range(400):
+            n = int(rnd.choice((3, 8, 20, 60, 300, 2000)))
+            a = np.unique(rnd.integers(0, 2**63, n, dtype=np.uint64))
+            out, new = rnd.integers(0, 1 + n // 6), rnd.integers(0, 1 + n // 6)
+            b = np.unique(np.concatenate([rnd.permutation(a)[out:], rnd.integers(0, 2**63, new, dtype=np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            if not len(b) or both < t * (len(a) + len(b) - both) or np.array_equal(a, b):
+                continue
+            tried += 1
+            sa, sb = ngram_join.part_signatures(a, bands), ngram_join.part_signatures(b, bands)
+            common = np.intersect1d(sa, sb)
+            ta, tb = ngram_join.least_shared(a, bands), ngram_join.least_shared(b, bands)
+            low = min(bands.of(len(a)), bands.of(len(b))) % 2
+            assert np.count_nonzero(common % 2 == low) >= max(ta[low], tb[low])
+        assert tried > 30
+
+
 def test_jaccard_awkward(spark):
     got = ngram_join.ngram_jaccard(table(spark, AWKWARD)).collect()
     assert len(got) == len(AWKWARD)
