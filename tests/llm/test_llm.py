@@ -340,6 +340,53 @@ def test_toxicity(spark):
     assert len(where) == 1 and "vileword" in text[where[0]["start"] :].split(".")[0]
 
 
+def test_toxicity_gradient_and_score():
+    rnd = np.random.default_rng(5)
+    doc, labels, x, leak = np.array([0, 0, 0, 1, 2, 2]), np.array([1, 0, 1, 1]), rnd.normal(-1, 1, 6), -2.5
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+
+    def likelihood(x, leak):
+        total = 0
+        for d, label in enumerate(labels):
+            none = (1 - sigmoid(leak)) * np.prod([1 - sigmoid(v) for v, e in zip(x, doc, strict=True) if e == d])
+            total += np.log(1 - none) if label else np.log(none)
+        return total
+
+    g, g_leak = toxicity.gradient(x, doc, labels, leak)
+    for k in range(6):
+        step = np.eye(6)[k] * 1e-6
+        assert g[k] == pytest.approx((likelihood(x + step, leak) - likelihood(x - step, leak)) / 2e-6, rel=1e-5)
+    assert g_leak == pytest.approx((likelihood(x, leak + 1e-6) - likelihood(x, leak - 1e-6)) / 2e-6, rel=1e-5)
+
+    model = toxicity.Model(rnd.normal(0, 0.3, 1 << toxicity.BITS).astype(np.float32), -2.0, -3.0)
+    text = "Some words here. And others there!\nA third ünd last"
+    got, p, _ = toxicity.document_score(text.encode(), model)
+    cells, numbers, _ = toxicity.sentence_words(text.encode())
+    want = [sigmoid(-2.0 + sum(float(model.weights[c]) for w, n in zip(cells, numbers, strict=True) if n == k for c in w)) for k in range(3)]
+    assert p == pytest.approx(want, rel=1e-5) and got == pytest.approx(1 - (1 - sigmoid(-3.0)) * np.prod([1 - v for v in want]), rel=1e-5)
+
+
+def test_toxicity_evidence():
+    k, j = np.array([10.0, 0, 3, 50]), np.array([0.0, 10, 30, 400])
+    got = toxicity.evidence(k, j, 50, 400)
+    for g, a, b in zip(got, k, j, strict=True):
+        cells = [(a, 50, a + b), (b, 400, a + b), (50 - a, 50, 450 - a - b), (400 - b, 400, 450 - a - b)]
+        want = 2 * sum(x * np.log(x / (n * m / 450)) for x, n, m in cells if x)
+        assert g == pytest.approx(want if a / 50 > b / 400 else 0)
+
+
+def test_toxicity_awkward(spark):
+    rows = [*AWKWARD, *[(i, ("vile " if i % 2 else "kind ") + "words. " * 3) for i in range(100, 160)], (101, "vile words. words. words. "), (500, "vile " + "calm words. " * 40_000)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100, 160)] + [(500, 1)], "doc_id long, toxic int")
+    got = toxicity.toxicity(table(spark, rows), labels).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got) and len({r["score"] for r in got if r["doc_id"] == 101}) == 1
+    small = toxicity.train(table(spark, rows), labels, sample=20, sample_bytes=200)
+    assert toxicity.score(table(spark, rows), small).count() == len(rows)
+    nothing = toxicity.toxicity(table(spark, rows), labels.where("toxic > 5")).collect()
+    assert len({r["score"] for r in nothing if r["doc_id"] in (1, 2, 7)}) == 1
+    assert toxicity.toxicity(table(spark, []), labels).count() == 0 and toxicity.toxicity(table(spark, []), labels).columns == ["doc_id", "held_out", "score", "predicted", "offending"]
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", None), (1, 1, "user", r"a\l<s>[INST]\\"), (1, 2, "assistant", "x</s>"), (2, 1, "assistant", "b"), (2, 0, "user", "a < b [c]"), (3, 0, None, ""), (None, 0, "user", "q"), (2, 1, "assistant", "b")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
