@@ -20,6 +20,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
+import tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,24 +28,42 @@ from lagwise.plans.scratch import materialize
 
 _PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 PIECES_A_BUCKET = 50_000
-_encoders: dict[str, tiktoken.Encoding] = {}
+_encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> tiktoken.Encoding:
-    """Byte-level BPE by a rank file, kept for each worker."""
-    if path not in _encoders:
-        with open(path, "rb") as f:
+class Encoder:
+    """Ids of the tokenizer in a JSON file, without added special tokens.
+
+    A text that holds none of the added tokens' strings has the same ids by the rank file of the same
+    vocabulary, whose encoder is three times as fast; the others go to the tokenizer itself.
+    """
+
+    def __init__(self, json_path: str, ranks_path: str):
+        self.whole = tokenizers.Tokenizer.from_file(json_path)
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[path]
+        self.plain = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def ids(self, text: str) -> list[int]:
+        if any(token in text for token in self.added):
+            return self.whole.encode(text, add_special_tokens=False).ids
+        return self.plain.encode_ordinary(text)
+
+
+def encoder(json_path: str, ranks_path: str) -> Encoder:
+    """Kept for each worker."""
+    if json_path not in _encoders:
+        _encoders[json_path] = Encoder(json_path, ranks_path)
+    return _encoders[json_path]
 
 
-def token_pieces(df: DataFrame, id_col: str, text_col: str, ranks_path: str, capacity: int, closing_id: int = 0) -> DataFrame:
+def token_pieces(df: DataFrame, id_col: str, text_col: str, json_path: str, ranks_path: str, capacity: int, closing_id: int = 0) -> DataFrame:
     """Pieces of each document's ids plus ``closing_id``: full pieces from the end, so that only the first may be shorter."""
 
     def run(batches):
         for batch in batches:
-            encode = encoder(ranks_path).encode_ordinary
+            encode = encoder(json_path, ranks_path).ids
             out: list[tuple] = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.array([*encode(text or ""), closing_id], "<u4")
@@ -138,14 +157,16 @@ def assign(pieces: DataFrame, runs: dict[int, list[tuple[int, int, int, int]]])
     return fields.mapInArrow(run, f"{_PIECES}, sequence_id long, offset long")
 
 
-def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, ranks_path: str | None = None) -> DataFrame:
+def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, json_path: str | None = None, ranks_path: str | None = None) -> DataFrame:
     """One row per piece: ``id_col, piece, start, length, ids_crc32, sequence_id, offset``.
 
-    Null and empty texts give one piece, the closing id. Repeated rows are packed each; a null id
+    Ids are those of the tokenizer in ``json_path``; ``ranks_path`` is the rank file of the same vocabulary.
+    Null and empty texts give one piece, the closing id. Texts may be of any length. Repeated rows are packed each; a null id
     stays null. An empty table gives an empty result. Other columns are ignored.
     """
+    json_path = json_path or public_tokenizers.path("byte_bpe_50k.json")
     ranks_path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    pieces = materialize(token_pieces(df, id_col, text_col, ranks_path, capacity), "pieces")
+    pieces = materialize(token_pieces(df, id_col, text_col, json_path, ranks_path, capacity), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs, _ = plan(counts, capacity)
     return assign(ranked(pieces), runs).withColumnRenamed("id", id_col)
