@@ -9,7 +9,6 @@ pieces x languages, reach the driver.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from dataclasses import dataclass
 from itertools import chain
@@ -18,16 +17,17 @@ import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNDETERMINED = "und"
 SMOOTHING = 0.5
-SEGMENT = 32  # after so many characters the forward vector is rescaled and carried on
+SEGMENT = 16  # after so many characters the forward vector is rescaled and carried on; in between, pieces as rare as 1e-18 do not underflow
 _KEPT_WORDS = 400_000
 _BATCH_WORDS = 8192
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
 _MARK = "▁"
 _vocabularies: dict[str, Vocabulary] = {}
 
@@ -218,14 +218,23 @@ def held_out(id_col: Column) -> Column:
 
 
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Train on the rows of ``df`` that are not held out, then predict every row: ``id_col, held_out, lang_pred, score``."""
+    """Train on the rows of ``df`` that are not held out, then predict every row: ``id_col, held_out, lang_pred, score``.
+
+    A null id is not held out. A null text, or one without a letter, is ``und`` with score 0 and teaches nothing; a
+    null lang teaches nothing. Repeated rows teach and are answered each. Texts and words of any length
+    count whole. An empty table gives an empty result; other columns are ignored.
+    """
     taught = df.where(~held_out(F.col(id_col))).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = df.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("_text"))
     return predict(rows, train(taught), "_text").drop("_text")
 
 
 def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.5) -> DataFrame:
-    """The rows whose language is determined with at least ``least``; columns as in ``df``."""
+    """The rows whose language is determined with at least ``least``; columns as in ``df``.
+
+    Rows whose text is null or has no letter go. Repeated rows stay or go together, a null id makes no
+    difference, and an empty table stays empty.
+    """
     taught = df.where(~held_out(F.col(id_col))).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     named = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_doc"), F.col(text_col).alias("_text"))
     found = predict(named, train(taught), "_text")
