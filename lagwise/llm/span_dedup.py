@@ -6,8 +6,8 @@ least hash of every ``CUT`` words in a row, whatever the sentence's length. Such
 at most ``CUT`` words apart. Line ends give a second set of borders beside the first; it adds runs and
 takes none away, so that a text with other line ends has the same runs by the first set.
 For each border the shortest run of at least two pieces and 20 words that begins with it, and the one
-that ends with it, are hashed (128 bits over lower-cased words). Of a run that occurs again anywhere,
-the occurrence in the smallest id, and there the first, stays. Pieces covered by any other
+that ends with it, are hashed (96 bits over lower-cased words); where borders agree, these cover whatever
+longer runs would. Of a run that occurs again anywhere, the occurrence in the smallest id, and there the first, stays. Pieces covered by any other
 occurrence are removed. Every passage of 49 words or more has such a run wherever it is set; of a passage
 that begins or ends inside a sentence, at most ``2 * CUT - 1`` words at that end stay.
 
@@ -90,7 +90,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 
 def runs(text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """(hashes, 16 bytes each; first pieces; ends) of the runs, those that repeat within the text included."""
+    """(hashes, 12 bytes each; first pieces; ends) of the runs, those that repeat within the text included."""
     _, hashes, sets = _pieces(text)
     if len(hashes) < LEAST_WORDS:
         return b"", np.empty(0, np.int64), np.empty(0, np.int64)
@@ -105,11 +105,11 @@ def runs(text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
     i, j = found >> 32, found & 0xFFFFFFFF
     every = np.unique(np.concatenate(sets)) if len(sets) > 1 else sets[0]
     raw, digest = hashes.tobytes(), xxhash.xxh3_128_digest
-    marks = b"".join([digest(raw[a:e]) for a, e in zip((8 * i).tolist(), (8 * j).tolist(), strict=True)])
+    marks = b"".join([digest(raw[a:e])[:12] for a, e in zip((8 * i).tolist(), (8 * j).tolist(), strict=True)])
     return marks, np.searchsorted(every, i), np.searchsorted(every, j)
 
 
-_SPANS = "h1 long, h2 long, id long, place long, spread int"
+_SPANS = "h1 long, h2 int, id long, place long, spread int"  # place: first piece << 8 | number of pieces, of which a run has under 2 * CUT + LEAST_WORDS
 
 
 def _first_of_equal(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
@@ -120,13 +120,16 @@ def _spans(batches):
     """Runs as ``_SPANS``; ``spread`` is 0 for the first of equal ones of a window, else a number over 0 that deals the row out."""
 
     def combined(rows: list[tuple[bytes, int, np.ndarray]]) -> pa.RecordBatch:
-        h = np.frombuffer(b"".join([r[0] for r in rows]), ">i8").reshape(-1, 2).astype(np.int64)
+        h = np.frombuffer(b"".join([r[0] for r in rows]), [("h1", ">i8"), ("h2", ">i4")])
+        h1, h2 = h["h1"].astype(np.int64), h["h2"].astype(np.int32)
         ids, places = np.repeat(np.array([r[1] for r in rows], np.int64), [len(r[2]) for r in rows]), np.concatenate([r[2] for r in rows])
-        order = np.lexsort((places, ids, h[:, 1], h[:, 0]))
-        h, ids, places = h[order], ids[order], places[order]
-        lead = _first_of_equal(h[:, 0], h[:, 1])
-        spread = np.where(lead, 0, 1 + np.arange(len(h)) % 65521).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1])), pa.array(ids), pa.array(places), pa.array(spread)], ["h1", "h2", "id", "place", "spread"])
+        order = np.lexsort((places, ids, h2, h1))
+        h1, h2, ids, places = h1[order], h2[order], ids[order], places[order]
+        lead = _first_of_equal(h1, h2)
+        once = lead | np.concatenate([[True], (ids[1:] != ids[:-1]) | (places[1:] != places[:-1])])  # rows that repeat an id tell the same twice
+        h1, h2, ids, places, lead = h1[once], h2[once], ids[once], places[once], lead[once]
+        spread = np.where(lead, 0, 1 + np.arange(len(h1)) % 65521).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (h1, h2, ids, places, spread)], ["h1", "h2", "id", "place", "spread"])
 
     held: list[tuple[bytes, int, np.ndarray]] = []
     n = 0
@@ -135,7 +138,7 @@ def _spans(batches):
             marks, first, end = runs(text)
             if not len(first):
                 continue
-            held.append((marks, i, first << 32 | end))
+            held.append((marks, i, first << 8 | (end - first)))
             n += len(first)
             if n >= WINDOW:
                 yield combined(held)
@@ -146,17 +149,20 @@ def _spans(batches):
 
 def _later(batches):
     """Of rows sorted by hash, id and place: those that are not the first of their hash."""
-    last = None
+    last = None  # the hash, id and place of the last row that was first of its hash
     for batch in batches:
-        h1, h2, spread = (batch.column(k).to_numpy() for k in (0, 1, 4))
+        h1, h2, ids, places, spread = (batch.column(k).to_numpy() for k in range(5))
         if not len(h1):
             continue
         lead = _first_of_equal(h1, h2)
-        lead[0] = (h1[0], h2[0]) != last
-        last = (h1[-1], h2[-1])
-        gone = pa.array(~lead | (spread > 0))
-        place = batch.column(3).filter(gone).to_numpy()
-        yield pa.RecordBatch.from_arrays([batch.column(2).filter(gone), pa.array((place >> 32).astype(np.int32)), pa.array((place & 0xFFFFFFFF).astype(np.int32))], ["id", "first", "end"])
+        lead[0] = last is None or (h1[0], h2[0]) != last[:2]
+        first = np.maximum.accumulate(np.where(lead, np.arange(len(h1)), -1))  # -1: that of the batch before
+        same = (ids == np.where(first < 0, last[2] if last else 0, ids[first])) & (places == np.where(first < 0, last[3] if last else 0, places[first]))
+        if first[-1] >= 0:
+            last = tuple(x[first[-1]] for x in (h1, h2, ids, places))
+        gone = ~same | (spread > 0)
+        places = places[gone]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[gone]), pa.array((places >> 8).astype(np.int32)), pa.array(((places >> 8) + (places & 255)).astype(np.int32))], ["id", "first", "end"])
 
 
 def _cut(batches):
@@ -178,27 +184,28 @@ def covered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, gone): by document, the runs of pieces that are not the first occurrence."""
     rows = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     spans = rows.mapInArrow(_spans, _SPANS).repartition("h1", "h2", "spread").sortWithinPartitions("h1", "h2", "spread", "id", "place")
-    gone = spans.mapInArrow(_later, "id long, first int, end int").distinct()
-    return gone.groupBy("id").agg(F.collect_list(F.struct("first", "end")).alias("gone"))
+    gone = spans.mapInArrow(_later, "id long, first int, end int")
+    return gone.groupBy("id").agg(F.collect_set(F.struct("first", "end")).alias("gone"))
 
 
 def drop_repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with ``text_col`` freed of repeated spans, plus ``removed``: (start, end) in the old text of each piece cut.
 
     Null texts and rows with a null id stay as they are and do not count as occurrences; a text
-    of fewer than 20 words has no run. Rows that repeat an id keep or lose the same
-    pieces. A text may become empty. A column ``removed`` in ``df`` is replaced.
+    of fewer than 20 words has no run. Rows that repeat an id and a text are one occurrence and keep or lose the same
+    pieces. A text may become empty; texts may be of any length. An empty table gives an empty result. A
+    column ``removed`` in ``df`` is replaced, all others pass through.
     """
     df = df.drop("removed")
     gone = materialize(covered(df, id_col, text_col), "gone")
     ids = gone.select(F.col("id").alias("_key"))
     hint = F.broadcast if ids.count() <= BROADCAST_IDS else (lambda x: x)
-    keyed = df.withColumn("_key", F.col(id_col).cast("long"))
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")  # so that no column of df clashes with ours
+    keyed = df.select(row, F.col(f"`{id_col}`").cast("long").alias("_key"), F.col(f"`{text_col}`").alias("_old"))
     same = keyed.join(hint(ids), "_key", "left_anti")  # rows without repeats pass straight through
-    cut = keyed.join(hint(ids), "_key", "left_semi").join(gone.withColumnRenamed("id", "_key"), "_key")
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
-    schema = f"_row {cut.select(row).schema[0].dataType.simpleString()}, _text string, removed array<struct<start:int,end:int>>"
-    changed = cut.select(row, F.col(text_col), "gone").mapInArrow(_cut, schema)
+    cut = keyed.join(hint(ids), "_key", "left_semi").join(gone.select(F.col("id").alias("_key"), "gone"), "_key")
+    schema = f"_row {keyed.schema['_row'].dataType.simpleString()}, _text string, removed array<struct<start:int,end:int>>"
+    changed = cut.select("_row", "_old", "gone").mapInArrow(_cut, schema)
     changed = changed.select(*[(F.col("_text") if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in df.columns], "removed")
-    same = same.select(*[F.col(f"`{c}`") for c in df.columns], F.expr("cast(array() AS array<struct<start:int,end:int>>)").alias("removed"))
+    same = same.select("_row.*", F.expr("cast(array() AS array<struct<start:int,end:int>>)").alias("removed"))
     return same.unionByName(changed)

@@ -175,7 +175,6 @@ def test_plan_and_pack(spark):
         assert slots[0][0] == 0 and all(a + n == b for (a, n), (b, _) in pairwise(slots)) and sum(slots[-1]) <= 10
     got = packing.pack(table(spark, AWKWARD)).collect()
     tokens = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokens.encode_special_tokens = True
     texts = {i: t or "" for i, t in AWKWARD}
     for r in got:
         ids = np.array([*tokens.encode(texts[r["doc_id"]], add_special_tokens=False).ids, 0], "<u4")
@@ -187,9 +186,34 @@ def test_plan_and_pack(spark):
     assert packing.pack(table(spark, [])).count() == 0
 
 
+def test_pack_ids_are_the_tokenizers(spark):
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    own, other, rnd = packing.encoder(*paths), Tokenizer.from_file(paths[0]), random.Random(9)
+    assert own.ids("a <|endoftext|> b") == [64, 220, 50256, 275]
+    parts = ("<|endoftext|>", "<|endoftext", "|>", " ", "word", "é🎉日", "\n\n ", "\u00a0\u2028", "'ll", "x" * 40, "12½")
+    for _ in range(2000):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randrange(12)))
+        assert own.ids(text) == other.encode(text, add_special_tokens=False).ids
+    rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|>" * 5000), (3, "ab" * 30_000)]
+    for r in packing.pack(table(spark, rows)).collect():
+        ids = np.array([*other.encode(dict(rows)[r["doc_id"]], add_special_tokens=False).ids, 0], "<u4")
+        assert zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"]
+
+
+def test_pack_over_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PIECES_A_BUCKET", 7)
+    rnd = random.Random(4)
+    rows = [(i % 290, "a " * rnd.choice((0, 1, 3, 7, 30, 31))) for i in range(300)]
+    got = packing.pack(table(spark, rows), capacity=16).collect()
+    slots = sorted((r["sequence_id"], r["offset"], r["length"]) for r in got)
+    assert slots[0][1] == 0 and all((a[0] == b[0] and a[1] + a[2] == b[1]) or (a[0] < b[0] and b[1] == 0) for a, b in pairwise(slots))
+    total = sum(n for _, _, n in slots)
+    assert all(o + n <= 16 for _, o, n in slots) and len({s for s, _, _ in slots}) <= -(-total // 16) + 1
+
+
 def test_bpe_equals_tiktoken(spark):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    own, other, rnd = bpe.codec(path), packing.encoder(path), random.Random(3)
+    own, other, rnd = bpe.codec(path), packing.encoder(public_tokenizers.path("byte_bpe_50k.json"), path).plain, random.Random(3)
     for _ in range(3000):
         text = "".join(rnd.choice(rnd.choice(("aab", " the ing", "é🎉日ǅ", "12 '\n", "\x85 \x1c'll"))) for _ in range(rnd.randrange(40)))
         ids = own.ids_text(text)
@@ -248,6 +272,37 @@ def test_spans(spark):
     assert span_dedup.drop_repeated_spans(table(spark, [])).count() == 0
 
 
+def test_spans_against_all_runs(spark, monkeypatch):
+    """With short sentences every border is a sentence's end, and the cover is that of all runs of sentences."""
+    rnd = random.Random(12)
+    pool = [" ".join(f"p{k}x{j}" for j in range(rnd.randint(1, 7))) + rnd.choice(".!?") for k in range(60)]
+    blocks = [[rnd.choice(pool) for _ in range(rnd.randint(3, 12))] for _ in range(15)]
+    rows = []
+    for i in range(70):
+        own = [s for _ in range(rnd.randint(1, 4)) for s in (rnd.choice(blocks) if rnd.random() < 0.6 else [f"u{i}n{rnd.randrange(10**6)} v{rnd.randrange(10**6)}." for _ in range(3)])]
+        rows.append((rnd.randrange(10**6) if i % 9 else i, " ".join(x.upper() if rnd.random() < 0.05 else x for x in own)))
+    rows += [rows[3], rows[40], (None, rows[5][1]), (77, None)]
+    found = {}
+    for i, t in set(rows) - {(None, rows[5][1]), (77, None)}:
+        words = t.lower().split()
+        borders = [0] + [k + 1 for k, w in enumerate(words) if w[-1] in ".!?"]
+        for a in range(len(borders)):
+            for b in range(a + span_dedup.LEAST_PIECES, len(borders)):
+                if borders[b] - borders[a] >= span_dedup.LEAST_WORDS:
+                    found.setdefault(tuple(words[borders[a] : borders[b]]), []).append((i, borders[a], borders[b]))
+    gone = {}
+    for places in found.values():
+        for i, a, b in sorted(places)[1:]:
+            gone.setdefault(i, set()).update(range(a, b))
+    monkeypatch.setattr(span_dedup, "WINDOW", 200)
+    got = span_dedup.drop_repeated_spans(table(spark, rows).withColumnsRenamed({"id": "gone", "n": "_key", "again": "removed"})).collect()
+    assert len(got) == len(rows) and sum(map(len, gone.values())) > 500
+    for r in got:
+        if r["doc_id"] is not None and r["text"] is not None:
+            old = dict(rows)[r["doc_id"]].split()
+            assert r["text"].split() == [w for k, w in enumerate(old) if k not in gone.get(r["doc_id"], ())]
+
+
 def test_spans_set_in_mid_sentence(spark):
     rnd, edge = random.Random(11), 2 * span_dedup.CUT - 1
 
@@ -323,6 +378,23 @@ def test_forward_carries_on_over_long_words():
         assert logs == pytest.approx(total("▁" + word), rel=1e-9)
 
 
+def test_language_letters_and_large_counts(spark):
+    rows = [(1, "² ½ Ⅷ ٣ 12", "aa"), (2, "haus und hof", "aa"), (3, "the house", "bb"), (2, "haus und hof", "aa"), (None, "the house", "bb"), (5, "x²y", None)]
+    df = spark.createDataFrame([(*r, "old", 1.5) for r in rows], "doc_id long, text string, lang string, lang_pred string, score double")
+    got = langid.identify(df).collect()
+    assert len(got) == 6 and next(r for r in got if r["doc_id"] == 1)["lang_pred"] == "und" and next(r for r in got if r["doc_id"] == 5)["lang_pred"] != "und"
+    assert len({(r["lang_pred"], r["score"]) for r in got if r["doc_id"] == 2}) == 1 and all(not r["held_out"] for r in got if r["doc_id"] is None)
+    kept = langid.keep_identified(df)
+    assert kept.columns == df.columns and all(r["lang_pred"] == "old" and r["score"] == 1.5 for r in kept.collect())
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    vocab = langid.vocabulary(path)
+    for many in (1e12, 1e15):
+        counts = np.full((vocab.size, 2), langid.SMOOTHING)
+        counts[100] += many, 2 * many
+        logs = langid.Scorer(langid.Model(["a", "b"], counts / counts.sum(axis=0), path)).texts([["q" * 100], ["日本語" * 40, "zzzz"]])
+        assert np.isfinite(logs).all() and np.allclose(langid.posterior(logs).sum(axis=1), 1)
+
+
 def test_toxicity(spark):
     rnd = random.Random(6)
     rows, labels = [], []
