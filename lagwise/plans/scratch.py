@@ -17,12 +17,14 @@ _cleaned: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of this run. Only where the setting is absent (tests, local mode) is one made here."""
+    """The folder of this run. Where the setting is absent one is made here, in local mode (tests) only: executors elsewhere could not read it."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             base = found.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         else:
             base = "file://" + tempfile.mkdtemp(prefix="lagwise-")
             spark.sparkContext.setCheckpointDir(base)
@@ -51,9 +53,9 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return a frame that reads the written table."""
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` once and return a frame that reads the written table; with ``by``, in one folder for each of that column's values."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
