@@ -161,6 +161,21 @@ def test_exact_dedup(spark):
     assert exact_dedup.exact_verdicts(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("hashes,bits", [(1, 1 << 30), (2, 1 << 30), (1, 1 << 15), (2, 1 << 15)])
+def test_exact_dedup_in_slices(spark, monkeypatch, hashes, bits):
+    monkeypatch.setattr(exact_dedup, "HASHES", hashes)
+    monkeypatch.setattr(exact_dedup, "MAX_BITS", bits)
+    rnd = random.Random(7)
+    rows = [(i, rnd.choice(("Same", f"t{rnd.randrange(3000)}", f"only {i}"))) for i in range(6000)]
+    assert exact_dedup.filter_size(6000)[0] == (1 if bits == 1 << 30 else 3)
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(t.lower(), []).append(i)
+    got = exact_dedup.exact_verdicts(table(spark, rows)).collect()
+    assert {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got} == {(i, max(g), len(g), i == max(g)) for g in groups.values() for i in g} and len(got) == 6000
+    assert sorted(r["doc_id"] for r in exact_dedup.drop_exact_copies(table(spark, rows)).collect()) == sorted(map(max, groups.values()))
+
+
 def test_plan_and_pack(spark):
     counts = {5: 7, 3: 10, 2: 4, 10: 2}
     runs, made = packing.plan(counts, 10)
