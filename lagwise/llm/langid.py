@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 UNDETERMINED = "und"
 SMOOTHING = 0.5
 SEGMENT = 16  # after so many characters the forward vector is rescaled and carried on; in between, pieces as rare as 1e-18 do not underflow
-_KEPT_WORDS = 400_000
+_KEPT_WORDS = 200_000  # in a worker's memory at once
+_BATCH_KEYS = 20_000
 _BATCH_WORDS = 8192
 _LETTERS = regex.compile(r"\p{L}+")
 _MARK = "▁"
@@ -88,10 +89,12 @@ def train(rows: DataFrame, path: str | None = None) -> Model:
             for lang, words in seen.items():
                 total = sums.setdefault(lang, np.zeros(vocab.size, np.int64))
                 keys = list(words)
-                encoded = vocab.model.encode(keys, num_threads=1)
-                times = np.repeat(np.fromiter(words.values(), np.int64, len(keys)), [len(x) for x in encoded])
-                pieces = np.fromiter((i for x in encoded for i in x), np.int64, len(times))
-                np.add.at(total, vocab.normal[pieces], times)
+                for a in range(0, len(keys), _BATCH_KEYS):
+                    part = keys[a : a + _BATCH_KEYS]
+                    encoded = vocab.model.encode(part, num_threads=1)
+                    times = np.repeat(np.fromiter(map(words.__getitem__, part), np.int64, len(part)), [len(x) for x in encoded])
+                    pieces = np.fromiter((i for x in encoded for i in x), np.int64, len(times))
+                    np.add.at(total, vocab.normal[pieces], times)
             seen.clear()
 
         for batch in batches:
@@ -182,25 +185,20 @@ def posterior(logs: np.ndarray) -> np.ndarray:
     return p / p.sum(axis=1, keepdims=True)
 
 
-def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``df`` plus ``lang_pred`` and ``score``, the posterior under equal priors; ``und`` and 0 for texts without a letter.
-
-    Equally likely languages: the first in order of name. A model of no language answers ``und``.
-    Columns named lang_pred or score are replaced; all others pass through unchanged.
-    """
+def _answered(df: DataFrame, model: Model, text_col: str) -> DataFrame:
+    """``_row`` (the row of ``df``), ``lang_pred`` and ``score``. The text is read from the row, so it goes to Python once."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    df = df.drop("lang_pred", "score")
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
-    kind = df.select(row).schema[0].dataType.simpleString()
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+    place = df.columns.index(text_col)
 
     def run(batches):
         scorer = None
         for batch in batches:
             scorer = scorer or Scorer(shared.value)
             names, found, scores = shared.value.languages, [], []
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(0).field(place)
             for a in range(0, len(texts), 256):
-                words = [words_of(t) for t in texts[a : a + 256]]
+                words = [words_of(t) for t in texts[a : a + 256].to_pylist()]
                 p = posterior(scorer.texts(words)) if names else None
                 for k, w in enumerate(words):
                     best = int(p[k].argmax()) if names and w else -1
@@ -208,8 +206,16 @@ def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                     scores.append(float(p[k, best]) if best >= 0 else 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string()), pa.array(scores, pa.float64())], ["_row", "lang_pred", "score"])
 
-    out = df.select(row, F.col(text_col).alias("_text")).mapInArrow(run, f"_row {kind}, lang_pred string, score double")
-    return out.select("_row.*", "lang_pred", "score")
+    return rows.mapInArrow(run, f"_row {rows.schema[0].dataType.simpleString()}, lang_pred string, score double")
+
+
+def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``df`` plus ``lang_pred`` and ``score``, the posterior under equal priors; ``und`` and 0 for texts without a letter.
+
+    Equally likely languages: the first in order of name. A model of no language answers ``und``.
+    Columns named lang_pred or score are replaced; all others pass through unchanged.
+    """
+    return _answered(df.drop(*{"lang_pred", "score"} - {text_col}), model, text_col).select("_row.*", "lang_pred", "score")
 
 
 def held_out(id_col: Column) -> Column:
@@ -226,7 +232,7 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     """
     taught = df.where(~held_out(F.col(id_col))).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = df.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("_text"))
-    return predict(rows, train(taught), "_text").drop("_text")
+    return _answered(rows, train(taught), "_text").select(f"_row.`{id_col}`", "_row.held_out", "lang_pred", "score")
 
 
 def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.5) -> DataFrame:
@@ -236,6 +242,5 @@ def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     difference, and an empty table stays empty.
     """
     taught = df.where(~held_out(F.col(id_col))).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    named = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_doc"), F.col(text_col).alias("_text"))
-    found = predict(named, train(taught), "_text")
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("_doc.*")
+    found = _answered(df, train(taught), text_col)
+    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("_row.*")

@@ -47,16 +47,19 @@ from lagwise.operators.graph import attach_group, connected_components
 from lagwise.plans.scratch import materialize
 
 BROADCAST_ROWS = 2_000_000  # ids; beyond it, a shuffled join
-WINDOW = 1_000_000  # entries combined in a task before the shuffle
+WINDOW = 500_000  # entries combined in a task before the shuffle
 BLOCK_SHINGLES = 100_000  # of candidates that meet in one verification block
 WIDE_BITS = 1 << 15  # of a wide sketch at most; of larger sets it tells less, and their texts decide
+_ROWS = 256  # turned into Python objects at once
 _PART = np.uint64(0x5851F42D4C957F2D)
 _SETS = "id long, n int, s1 long, s2 long, b0 long, b1 long, b2 long, b3 long, t0 int, t1 int"
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
-    for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
-        yield i, t or b""
+    for a in range(0, batch.num_rows, _ROWS):
+        part = batch.slice(a, _ROWS)
+        for i, t in zip(part.column(0).to_pylist(), part.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
+            yield i, t or b""
 
 
 def _needed(t: Fraction, total):
@@ -305,8 +308,8 @@ def told_apart(pairs: DataFrame, texts: DataFrame, width: int, t: Fraction) -> D
 
     def run(batches):
         for batch in batches:
-            rows = zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)
-            left = pa.array([near(*row) for row in rows], pa.bool_())
+            parts = (batch.slice(a, _ROWS) for a in range(0, batch.num_rows, _ROWS))
+            left = pa.array([near(*row) for part in parts for row in zip(*(part.column(k).to_pylist() for k in range(2, 6)), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(left) for k in range(3)], ["hub", "id", "n"])
 
     ids = materialize(pairs.select("id").unionByName(pairs.select(F.col("hub").alias("id"))).distinct(), "ids")

@@ -32,7 +32,7 @@ from lagwise.plans.scratch import materialize
 LEAST_PIECES, LEAST_WORDS, CUT = 2, 20, 8
 WINDOW = 400_000
 BROADCAST_IDS = 2_000_000  # some 50 MB
-_KEPT_WORDS = 1 << 20
+_KEPT_WORDS = 1 << 18
 _GAP = re.compile(r"\s+")
 
 
