@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 UNDETERMINED = "und"
 SMOOTHING = 0.5
 SEGMENT = 16  # after so many characters the forward vector is rescaled and carried on; in between, pieces as rare as 1e-18 do not underflow
-_KEPT_WORDS = 200_000  # in a worker's memory at once
+_KEPT_WORDS = 300_000  # in a worker's memory at once
 _BATCH_KEYS = 20_000
 _BATCH_WORDS = 8192
 _LETTERS = regex.compile(r"\p{L}+")
