@@ -10,12 +10,15 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from lagwise.config import Config, ConfigError, read_config
-from lagwise.functions.render import number
+from lagwise.functions.render import duration, number
 from lagwise.operators import pairs
+from lagwise.operators.prepare import diagnostics
 from lagwise.plans import modes
+from lagwise.plans.progress import Progress
+from lagwise.plans.scratch import materialize
 from lagwise.plans.ship import ship
 from lagwise.sources import sinks
-from lagwise.sources.series import read_candidates, read_series, resolve
+from lagwise.sources.series import failures, present, read_candidates, read_scores, read_series, read_spectra, resolve
 
 USAGE = """usage: lagwise [-conf file]                    run the configured mode
        lagwise -plot [1d|2d] -events f...      plot (tiny without 1d or 2d)
@@ -32,11 +35,39 @@ def _option(args: list[str], name: str) -> list[str] | None:
     return rest[: next((k for k, x in enumerate(rest) if x.startswith("-")), len(rest))]
 
 
+def _warn(text: str) -> None:
+    print(text, file=sys.stderr)
+
+
+def _projected(events, cfg: Config, total: int, candidates: int) -> list[str]:
+    """A7 as lines; times of a pair in microseconds, of the whole dataset in words."""
+    found = modes.throughput(events, cfg, total, candidates)
+    lines = [f"full dataset: {total} series"]
+    for name, x in found.items():
+        shown = "not known" if x is None else f"{x * 1e6:.1f} us" if name.endswith("a pair") else f"{x:.0f}" if name == "candidates" else f"{x:.1f} x" if name == "gain" else duration(int(1000 * x))
+        lines.append(f"{name}: {shown}")
+    return lines
+
+
 def run_mode(spark: SparkSession, cfg: Config, out: str = ".") -> list[str]:
-    """Run ``cfg.mode``; files go below ``out``, the lines of reports are returned."""
+    """Run ``cfg.mode``; files go below ``out``, the lines of reports are returned.
+
+    POSTPROCESS and BRUTEFORCE use the transforms that FFTPRECACHE left (J12); ANALYSE uses the scores of
+    earlier runs and appends only what it had to compute.
+    """
     series = read_series(spark, cfg.sample_dataset if cfg.mode == "ANALYSE" else cfg.dataset, cfg)
     per_event = cfg.mode in ("FFTDOMINANTFREQ", "PLOT1D", "PLOT2D", "CLUSTER", "FFTPRECACHE")
+    if cfg.verbose:
+        for r in diagnostics(series, cfg).toLocalIterator():
+            _warn(", ".join(f"{k} {v}" for k, v in r.asDict().items() if v is not None))
+    if per_event:
+        series = materialize(series, "series")
     events = modes.prepared(series, cfg, strict=not per_event)
+    if per_event:
+        for text in failures(series):
+            _warn(text)
+    if cfg.mode in ("POSTPROCESS", "BRUTEFORCE") and present(spark, f"{out}/{CACHE}"):
+        events = pairs.with_spectra(events, read_spectra(spark, f"{out}/{CACHE}"), cfg)
     if cfg.mode == "PEAKMATCH":
         sinks.write_pairs(modes.peakmatch(events, cfg), f"{out}/{CANDIDATES}")
     elif cfg.mode == "POSTPROCESS":
@@ -50,9 +81,12 @@ def run_mode(spark: SparkSession, cfg: Config, out: str = ".") -> list[str]:
     elif cfg.mode == "FFTDOMINANTFREQ":
         sinks.write_dominant(modes.dominant_freqs(events, cfg), f"{out}/{DOMINANT}")
     elif cfg.mode == "ANALYSE":
-        report = modes.analyse(events, cfg)["report"].first().asDict()
-        sinks.save_scores(pairs.score_pairs(events, cfg, approx=False), f"{out}/{SAVED}")
-        return [f"{k}: {v}" for k, v in report.items()] + [f"projected seconds, {k}: {v}" for k, v in modes.throughput(events, cfg, events.count()).items()]
+        saved = read_scores(spark, f"{out}/{SAVED}") if present(spark, f"{out}/{SAVED}") else None
+        found = modes.analyse(events, cfg, saved)
+        report = found["report"].first().asDict()
+        sinks.save_scores(found["fresh"], f"{out}/{SAVED}")
+        total = read_series(spark, cfg.dataset, cfg).count()
+        return [f"{k}: {v}" for k, v in report.items()] + _projected(events, cfg, total, report["candidates"])
     elif cfg.mode == "CLUSTER":
         return [f"{r['head']}\t{r['event_id']}\t{number(r['distance'])}" for r in modes.clustering(events, cfg).toLocalIterator()]
     else:
@@ -97,7 +131,9 @@ def main(args: list[str]) -> int:
         cfg = read_config((_option(args, "-conf") or ["xcorr.conf"])[0])
         spark = ship(SparkSession.builder.getOrCreate())
         chosen = [a for a in args if a.startswith("-") and a != "-conf"]
-        print("\n".join(run_files(spark, cfg, args) if chosen else run_mode(spark, cfg)))
+        with Progress(spark):
+            lines = run_files(spark, cfg, args) if chosen else run_mode(spark, cfg)
+        print("\n".join(lines))
     except (ConfigError, ValueError, OSError) as e:
         print(e, file=sys.stderr)
         return 1

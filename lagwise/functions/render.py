@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from decimal import ROUND_HALF_EVEN, Decimal
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,13 +54,13 @@ def plot_1d(name: str, means: list[tuple[float, float]], cfg: Config) -> str:
 
 
 def plot_2d(name: str, slices: list[list[tuple[float, float]]], cfg: Config) -> str:
-    """Rows are bands from high to low, columns time slices of unit band means."""
-    ramp, lines = RAMPS[cfg.ramp], {}
-    for means in slices:
+    """A grid of glyphs, a row for each band from high to low, a column for each time slice of unit band means."""
+    ramp, bands = RAMPS[cfg.ramp], sorted({band for means in slices for band, _ in means}, reverse=True)
+    level = np.zeros((len(bands), len(slices)), int)
+    for column, means in enumerate(slices):
         for band, v in means:
-            level = 0 if v is None or math.isnan(v) else min(len(ramp) - 1, int(len(ramp) * v / TOP))
-            lines[band] = lines.get(band, "") + ramp[level]
-    out = [f"{number(band) + ' hz ':>10}{text}" for band, text in reversed(lines.items())]
-    width = len(next(iter(lines.values()), ""))
-    axis = f"{'sec ':>10}" + "".join(f"{'|' + number(cfg.slice_sec * k):<{SPACING}}" for k in range(0, width, SPACING))
-    return "\n".join([name, *out, axis, "", ""])
+            if v is not None and not math.isnan(v):
+                level[bands.index(band), column] = min(len(ramp) - 1, int(len(ramp) * v / TOP))
+    grid = ["".join(row) for row in np.array(list(ramp))[level]]
+    ticks = "".join(f"{'|' + number(cfg.slice_sec * k):<{SPACING}}" for k in range(0, len(slices) if bands else 0, SPACING))
+    return "\n".join([name, *(f"{number(band) + ' hz ':>10}{row}" for band, row in zip(bands, grid, strict=True)), f"{'sec ':>10}{ticks}", "", ""])

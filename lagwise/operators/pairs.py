@@ -1,8 +1,9 @@
 """All pairs of series, scored in tiles.
 
 Series are dealt to B blocks; a tile is a pair of blocks, so each series goes to B tiles and not into
-n pairs: the shuffle is n * B rows for n * n / 2 scores. B keeps a block at ``BLOCK`` series. In a
-tile each series is transformed once. Thresholds apply within the kernel: no table of all scores.
+n pairs: the shuffle is n * B rows for n * n / 2 scores. Blocks are as large as ``TILE_BYTES`` allows a
+tile, or smaller where there would be too few tiles for the cores. In a tile each series is padded and
+transformed once. Thresholds apply within the kernel: no table of all scores.
 """
 
 from __future__ import annotations
@@ -15,9 +16,10 @@ from pyspark.sql import functions as F
 from lagwise.config import Config
 from lagwise.operators.prepare import matrix
 
-BLOCK = 256
+TILE_BYTES = 192 << 20  # of both blocks of a tile: samples, padded samples and two half spectra
 LEAST_SCORE = 5e-324  # the smallest positive double: a search for the largest score begins here
 _CHUNK = 4 << 20  # numbers in one batch of inverse transforms
+_GATHER = 1 << 16  # samples gathered at once, so that they stay near the core
 
 
 def transforms(x: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
@@ -34,37 +36,92 @@ def exact_scores(forward: np.ndarray, reverse: np.ndarray, p: int) -> np.ndarray
     return np.maximum(out, LEAST_SCORE)
 
 
-def approximate_scores(a: np.ndarray, peaks_a: tuple[np.ndarray, np.ndarray], b: np.ndarray, peaks_b: tuple[np.ndarray, np.ndarray], support: np.ndarray, stride: int) -> np.ndarray:
-    """Scores of each row of ``a`` against one series ``b``, over alignments of top with top and low with low peaks."""
-    m = a.shape[1]
-    use = support[::stride]
-    offsets = np.concatenate([(x[:, :, None] - y[None, None, :]).reshape(len(a), -1) for x, y in zip(peaks_a, peaks_b, strict=True)], axis=1)
-    best = np.full(len(a), -1.0)
-    if len(use) and offsets.shape[1]:
-        wide = np.zeros((len(a), 3 * m))  # samples beyond an end count nothing
-        wide[:, m : 2 * m] = a
-        at = offsets[:, :, None] + (use + m)[None, None, :]
-        hit = np.take_along_axis(wide, at.reshape(len(a), -1), axis=1).reshape(at.shape)
-        best = np.maximum(best, stride * (hit @ b[use]).max(axis=1))
-    elif offsets.shape[1]:
-        best = np.maximum(best, 0.0)
-    return best
-
-
-def tiles(prepared: DataFrame, block: int = BLOCK) -> DataFrame:
+def padded(x: np.ndarray) -> np.ndarray:
+    """Series between zeros of their own length: samples beyond an end count nothing."""
+    m = x.shape[1]
+    wide = np.zeros((len(x), 3 * m))
+    wide[:, m : 2 * m] = x
+    return wide
+
+
+def approximate_scores(wide: np.ndarray, rows: np.ndarray, peaks: tuple[np.ndarray, np.ndarray], j: int, support: np.ndarray, stride: int) -> np.ndarray:
+    """Scores of the series ``rows`` of ``wide`` (padded) against series ``j`` of it, over alignments of top with top and low with low peaks.
+
+    Short supports are gathered by place; long ones go by dot products with the target, zero outside its support.
+    """
+    m = wide.shape[1] // 3
+    use, b = support[::stride], wide[j, m : 2 * m]
+    offsets = np.concatenate([(x[rows][:, :, None] - x[j][None, None, :]).reshape(len(rows), -1) for x in peaks], axis=1)
+    best = np.full(len(rows), -1.0)
+    if not offsets.shape[1]:
+        return best
+    if not len(use):
+        return np.maximum(best, 0.0)
+    first, span = int(use[0]), int(use[-1] - use[0]) + 1
+    if len(use) > 256 + span // 8:
+        target = np.zeros(span)
+        target[use - first] = b[use]
+        places = (offsets + (m + first)).tolist()
+        best = np.array([max([target.dot(row[o : o + span]) for o in own]) for row, own in zip(map(wide.__getitem__, rows.tolist()), places, strict=True)])
+    else:
+        flat, weights, begin = wide.ravel(), b[use], rows[:, None] * (3 * m) + m + offsets
+        step = max(1, _GATHER // (offsets.shape[1] * len(use)))
+        for a in range(0, len(rows), step):
+            best[a : a + step] = (flat.take(begin[a : a + step, :, None] + use) @ weights).max(axis=1)
+    return np.maximum(stride * best, -1.0)
+
+
+def block_count(rows: int, samples: int, p: int, cores: int, block: int | None = None) -> int:
+    """Blocks of at most the series that half of ``TILE_BYTES`` holds (or ``block``), and four tiles a core where blocks of 64 allow it."""
+    held = 8 * 4 * samples + 16 * p
+    least = -(-rows // (block or max(2, TILE_BYTES // 2 // held)))
+    return max(1, least, min(-(-rows // 64), int(np.ceil(np.sqrt(8 * cores)))) if block is None else 1)
+
+
+def tiles(prepared: DataFrame, cfg: Config, block: int | None = None) -> DataFrame:
     """Each series once for every tile of its block."""
     rows = prepared.where("error IS NULL")
-    blocks = max(1, -(-rows.count() // block))
+    blocks = block_count(rows.count(), cfg.samples, cfg.padded, prepared.sparkSession.sparkContext.defaultParallelism, block)
     own = rows.withColumn("_block", F.pmod(F.xxhash64("event_id"), F.lit(blocks)).cast("int"))
     return own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_low", F.least("_block", "_other")).withColumn("_high", F.greatest("_block", "_other"))
 
 
-def score_pairs(prepared: DataFrame, cfg: Config, approx: bool = True, exact: bool = True, candidate: float | None = None, final: float | None = None, block: int = BLOCK) -> DataFrame:
+_KEPT = ("fwd_re", "fwd_im", "rev_re", "rev_im")
+
+
+def with_spectra(prepared: DataFrame, spectra: DataFrame, cfg: Config) -> DataFrame:
+    """Kept transforms beside their series (null where there are none); a real series needs half of each."""
+    half = spectra.select("event_id", *[F.slice(c, 1, cfg.padded // 2 + 1).alias(c) for c in _KEPT]).dropDuplicates(["event_id"])
+    return prepared.join(half, "event_id", "left")
+
+
+def _transforms_of(d: np.ndarray, kept: list[pa.Array], p: int, which: str = "both") -> list[np.ndarray]:
+    """Half spectra of the rows of ``d`` and of their reverses; those in ``kept`` (arrays of parts, or none) are not computed anew."""
+    out = []
+    for k, x in enumerate((d, d[:, ::-1])):
+        if which != "both" and k != ("forward", "reverse").index(which):
+            continue
+        if not kept:
+            out.append(np.fft.rfft(x, p))
+            continue
+        re, im = kept[2 * k : 2 * k + 2] if which == "both" else kept
+        has = np.flatnonzero(re.is_valid().to_numpy(zero_copy_only=False) & (re.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) == p // 2 + 1))
+        z = np.empty((len(d), p // 2 + 1), complex)
+        z[has] = matrix(re.take(pa.array(has)), p // 2 + 1) + 1j * matrix(im.take(pa.array(has)), p // 2 + 1)
+        rest = np.setdiff1d(np.arange(len(d)), has)
+        z[rest] = np.fft.rfft(x[rest], p)
+        out.append(z)
+    return out
+
+
+def score_pairs(prepared: DataFrame, cfg: Config, approx: bool = True, exact: bool = True, candidate: float | None = None, final: float | None = None, block: int | None = None) -> DataFrame:
     """``e1, e2[, approx][, score]`` of all pairs with e1 < e2 (numbers by value, texts by code).
 
     ``candidate``: only pairs with approx above it (F2) go on to the exact score; ``final``: only
     scores above it (F3) are returned. ``prepared`` is read once for each of the two uses: keep it.
+    Kept transforms (``with_spectra``) are used where they are there.
     """
+    kept_cols = [c for c in _KEPT if exact and c in prepared.columns]
     kind = dict(prepared.dtypes)["event_id"]
     m, p, stride = cfg.samples, cfg.padded, cfg.stride
     names = ["e1", "e2", *["approx"] * approx, *["score"] * exact]
@@ -76,14 +133,14 @@ def score_pairs(prepared: DataFrame, cfg: Config, approx: bool = True, exact: bo
         low, high = table["_low"][0].as_py(), table["_high"][0].as_py()
         d = matrix(table["d"].combine_chunks(), m)
         peaks = tuple(matrix(table[c].combine_chunks(), cfg.top_k).astype(np.int64) for c in ("max_peaks", "min_peaks"))
-        spectra = transforms(d, p) if exact else (None, None)
+        spectra = _transforms_of(d, [table[c].combine_chunks() for c in kept_cols], p) if exact else (None, None)
+        wide = padded(d) if approx else None
         found: list[list[np.ndarray]] = [[] for _ in names]
         for j in range(1, len(ids)):
             # A is the smaller id; a tile of two blocks pairs only across them
-            i = np.arange(j) if low == high else np.flatnonzero(block_of[:j] != block_of[j])
-            cols = []
+            i, cols = np.arange(j) if low == high else np.flatnonzero(block_of[:j] != block_of[j]), []
             if approx and len(i):
-                s = approximate_scores(d[i], (peaks[0][i], peaks[1][i]), d[j], (peaks[0][j], peaks[1][j]), np.array(table["support"][j].as_py(), np.int64), stride)
+                s = approximate_scores(wide, i, peaks, j, np.array(table["support"][j].as_py(), np.int64), stride)
                 keep = s > candidate if candidate is not None else slice(None)
                 i, s = i[keep], s[keep]
                 cols.append(s)
@@ -98,21 +155,23 @@ def score_pairs(prepared: DataFrame, cfg: Config, approx: bool = True, exact: bo
         keys = pa.array(ids, table.schema.field("event_id").type)
         return pa.Table.from_arrays([keys.take(pa.array(x.astype(np.int64))) for x in joined[:2]] + [pa.array(x) for x in joined[2:]], names)
 
-    fields = ["event_id", "_block", "_low", "_high", "d", "max_peaks", "min_peaks", "support"]
-    return tiles(prepared, block).select(*fields).groupBy("_low", "_high").applyInArrow(run, schema)
+    fields = ["event_id", "_block", "_low", "_high", "d", "max_peaks", "min_peaks", "support", *kept_cols]
+    return tiles(prepared, cfg, block).select(*fields).groupBy("_low", "_high").applyInArrow(run, schema)
 
 
 def score_candidates(candidates: DataFrame, prepared: DataFrame, cfg: Config, final: float | None = None) -> DataFrame:
-    """Exact scores of listed pairs (``e1, e2``), by two equi joins; pairs with an absent series drop out."""
-    rows = prepared.where("error IS NULL")
-    left, right = rows.select(F.col("event_id").alias("e1"), F.col("d").alias("d1")), rows.select(F.col("event_id").alias("e2"), F.col("d").alias("d2"))
-    both = candidates.select("e1", "e2").dropDuplicates().join(left, "e1").join(right, "e2").select("e1", "e2", "d1", "d2")
+    """Exact scores of listed pairs (``e1, e2``), by two equi joins; pairs with an absent series drop out. Kept transforms are used."""
+    rows, kept = prepared.where("error IS NULL"), _KEPT[0] in prepared.columns
+    first, second = (_KEPT[:2], _KEPT[2:]) if kept else ((), ())
+    left, right = rows.select(F.col("event_id").alias("e1"), F.col("d").alias("d1"), *first), rows.select(F.col("event_id").alias("e2"), F.col("d").alias("d2"), *second)
+    both = candidates.select("e1", "e2").dropDuplicates().join(left, "e1").join(right, "e2").select("e1", "e2", "d1", "d2", *first, *second)
     m, p = cfg.samples, cfg.padded
 
     def run(batches):
         for batch in batches:
-            forward = np.fft.rfft(matrix(batch.column(2), m), p)
-            reverse = np.fft.rfft(matrix(batch.column(3), m)[:, ::-1], p)
+            parts = [batch.column(k) for k in range(4, batch.num_columns)]
+            (forward,) = _transforms_of(matrix(batch.column(2), m), parts[:2], p, "forward")
+            (reverse,) = _transforms_of(matrix(batch.column(3), m), parts[2:], p, "reverse")
             s = exact_scores(forward, reverse, p)
             keep = pa.array(s > final if final is not None else np.ones(len(s), bool))
             yield pa.RecordBatch.from_arrays([c.filter(keep) for c in (batch.column(0), batch.column(1), pa.array(s))], ["e1", "e2", "score"])

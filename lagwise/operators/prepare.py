@@ -112,3 +112,17 @@ def zero_crossings(series: DataFrame, cfg: Config) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(ords, pa.int32()), pa.array(places, pa.int32()), pa.array(amps, pa.float64())], ["event_id", "ord", "pos", "amp"])
 
     return crop(series, cfg).where("error IS NULL").select("event_id", "d").mapInArrow(run, f"event_id {name}, ord int, pos int, amp double")
+
+
+def diagnostics(series: DataFrame, cfg: Config) -> DataFrame:
+    """What preparation does to each series: ``event_id, samples, trailing_zeros, peak_at, mean, norm, error``.
+
+    ``trailing_zeros`` counts those at the end, padding included; ``peak_at`` is the first largest absolute
+    sample of the whole series; mean and norm are those of the series as cropped.
+    """
+    size = F.transform("d", F.abs)
+    seen = series.select("event_id", F.size("d").alias("samples"), F.aggregate("d", F.lit(0), lambda n, x: F.when(x == 0, n + 1).otherwise(0)).alias("trailing_zeros"), (F.array_position(size, F.array_max(size)) - 1).alias("peak_at"))
+    sums = crop(series, cfg).select("event_id", "error", F.aggregate("d", F.lit(0.0), lambda s, x: s + x).alias("_s"), F.aggregate("d", F.lit(0.0), lambda s, x: s + x * x).alias("_q"))
+    mean = F.col("_s") / cfg.samples
+    norm = F.sqrt(F.greatest(F.col("_q") - cfg.samples * mean * mean, F.lit(0.0))) if cfg.centre else F.sqrt("_q")
+    return seen.join(sums, "event_id").select("event_id", "samples", "trailing_zeros", "peak_at", mean.alias("mean"), norm.alias("norm"), "error")

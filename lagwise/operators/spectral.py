@@ -72,7 +72,7 @@ def parse_bands(text: str | None) -> list[tuple[float, float]]:
         try:
             low, high = map(float, band.split("-"))
         except ValueError:
-            raise ValueError(f"invalid frequency bands '{text}': expecting ranges like [1.5-5] [5-7.8]") from None
+            raise ValueError(f"cannot read band {band!r} of {text!r}; write low-high in Hz, bands parted by one blank") from None
         out.append((low, high))
     return out
 

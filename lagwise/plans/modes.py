@@ -51,26 +51,53 @@ def precache(events: DataFrame, cfg: Config) -> DataFrame:
     return pairs.fft_records(events, cfg)
 
 
-def analyse(events: DataFrame, cfg: Config) -> dict[str, DataFrame]:
-    """M1: false positives and negatives of the approximate filter, and the report."""
-    both = materialize(pairs.score_pairs(events, cfg), "both")
+def sample_scores(approx: DataFrame, events: DataFrame, cfg: Config, saved: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(``e1, e2, approx, score`` of all pairs, those of them that had to be computed: J8).
+
+    ``approx`` has all pairs with their approximate scores; ``saved`` exact scores of earlier runs, of
+    which pairs not in ``approx`` are ignored (F9) and of a pair saved twice the largest counts.
+    """
+    if saved is None:
+        fresh = materialize(pairs.score_pairs(events, cfg, approx=False), "fresh")
+        return approx.join(fresh, ["e1", "e2"]), fresh
+    kept = approx.join(saved.groupBy("e1", "e2").agg(F.max("score").alias("score")), ["e1", "e2"], "left")
+    missing = kept.where("score IS NULL").select("e1", "e2")
+    fresh = materialize(pairs.score_candidates(missing, events, cfg), "fresh")
+    had = kept.where("score IS NOT NULL").select("e1", "e2", "approx", "score")
+    return had.unionByName(approx.join(fresh, ["e1", "e2"]).select("e1", "e2", "approx", "score")), fresh
+
+
+def analyse(events: DataFrame, cfg: Config, saved: DataFrame | None = None) -> dict[str, DataFrame]:
+    """M1: false positives and negatives of the approximate filter, the report (J7, J9, A5, A6, F4) and the scores computed anew."""
+    approx = materialize(pairs.score_pairs(events, cfg, exact=False), "approx")
+    scored, fresh = sample_scores(approx, events, cfg, saved)
+    both = materialize(scored, "both")
     true, found = F.col("score") >= cfg.final, F.col("approx") > cfg.candidate
     count = both.agg(F.count_if(true).alias("matches"), F.count_if(found).alias("candidates"), F.count_if(found & ~true).alias("false_positives"), F.count_if(true & ~found).alias("false_negatives"))
     n = events.agg(F.count("*").alias("events"))
     rate = lambda c: F.when(F.col("matches") > 0, F.expr(f"100 * {c} DIV matches"))
     report = n.crossJoin(count).withColumn("pairs", F.expr("events * events DIV 2")).withColumn("fp_percent", rate("false_positives")).withColumn("fn_percent", rate("false_negatives"))
-    return {"false_positives": both.where(found & ~true), "false_negatives": both.where(true & ~found), "report": report}
+    return {"false_positives": both.where(found & ~true), "false_negatives": both.where(true & ~found), "report": report, "fresh": fresh}
 
 
-def throughput(events: DataFrame, cfg: Config, total: int) -> dict[str, float | None]:
-    """Seconds a pair of both passes over a sample, carried on to ``total`` series; None where nothing was scored."""
-    n, out = events.count(), {}
+def throughput(events: DataFrame, cfg: Config, total: int, candidates: int) -> dict[str, float | None]:
+    """Seconds a pair of both passes over a sample, carried on to ``total`` series; None where nothing was scored.
+
+    ``candidates`` of the sample's pairs pass the filter; at that share of all pairs, filter and refinement
+    together take ``filtered``, and the exact score of every pair ``brute force``.
+    """
+    n, each = events.count(), {}
+    count, all_pairs = n * (n - 1) // 2, total * (total - 1) // 2
     for name, run in (("approximate", lambda: pairs.score_pairs(events, cfg, exact=False)), ("exact", lambda: pairs.score_pairs(events, cfg, approx=False))):
         begun = time.time()
         run().write.format("noop").mode("overwrite").save()
-        count = n * (n - 1) // 2
-        out[name] = (time.time() - begun) / count * (total * (total - 1) // 2) if count else None
-    return out
+        each[name] = (time.time() - begun) / count if count else None
+    if not count:
+        return dict.fromkeys(("approximate a pair", "exact a pair", "approximate", "candidates", "refinement", "filtered", "brute force", "gain"))
+    expected = all_pairs * candidates / count
+    first, second, brute = each["approximate"] * all_pairs, each["exact"] * expected, each["exact"] * all_pairs
+    gain = brute / (first + second) if first + second else None
+    return {"approximate a pair": each["approximate"], "exact a pair": each["exact"], "approximate": first, "candidates": expected, "refinement": second, "filtered": first + second, "brute force": brute, "gain": gain}
 
 
 def dominant_freqs(events: DataFrame, cfg: Config) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,10 +58,16 @@ def load(series: DataFrame, cfg: Config) -> DataFrame:
 
 
 def sound(series: DataFrame) -> DataFrame:
-    """Without the rows that failed."""
+    """without the rows that failed."""
     return series.where("error IS NULL")
 
 
+def failures(series: DataFrame) -> Iterator[str]:
+    """A line for each series that failed; they stream to the driver, which holds one partition's at a time."""
+    for r in series.where("error IS NOT NULL").select("event_id", "error").toLocalIterator():
+        yield f"{r['event_id']}: {r['error']}"
+
+
 PAIRS = "e1 string, e2 string, score double"
 
 
@@ -81,3 +87,9 @@ def read_scores(spark: SparkSession, path: str, wanted: DataFrame | None = None)
 def read_spectra(spark: SparkSession, path: str) -> DataFrame:
     """The spectra kept by K6; series without one are absent."""
     return spark.read.parquet(path)
+
+
+def present(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder that a mode may have left is there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)

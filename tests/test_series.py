@@ -4,6 +4,7 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lagwise.cli import run_files, run_mode
 from lagwise.config import Config, ConfigError, next_power_of_two, properties, read_config
@@ -11,7 +12,7 @@ from lagwise.functions import render
 from lagwise.operators import cluster, pairs, spectral
 from lagwise.operators.graph import connected_components
 from lagwise.operators.prepare import crossing_peaks
-from lagwise.plans import modes
+from lagwise.plans import modes, progress
 from lagwise.sources import series as src
 
 SERIES = "event_id long, d array<double>, error string"
@@ -163,3 +164,103 @@ def test_every_unresolved_pair_is_reported(spark, tmp_path):
     (listed / "part").write_text("".join(f"a\tgone{k}\t0.5\n" for k in range(150)))
     lines = run_mode(spark, replace(read_config(conf(tmp_path, data)), mode="POSTPROCESS"), str(tmp_path))
     assert sorted(lines) == sorted(f"unresolved: a gone{k}" for k in range(150))
+
+
+def test_scores_and_spectra_of_earlier_runs_are_used(spark, tmp_path, capsys):
+    data, out = tmp_path / "data", str(tmp_path)
+    data.mkdir()
+    rng = np.random.default_rng(4)
+    write = lambda name: (data / name).write_text("\n".join(f"{x:.3f}" for x in rng.normal(size=16) * 50) + "\n")
+    for name in "abcd":
+        write(name)
+    cfg = replace(read_config(conf(tmp_path, data)), mode="ANALYSE", verbose=True)
+    first = run_mode(spark, cfg, out)
+    assert src.read_scores(spark, f"{out}/xcorr.saved").count() == 6 and "norm" in capsys.readouterr().err
+    again = run_mode(spark, cfg, out)
+    assert src.read_scores(spark, f"{out}/xcorr.saved").count() == 6 and first[:7] == again[:7] and "full dataset: 4 series" in again
+    write("e")
+    run_mode(spark, cfg, out)
+    assert src.read_scores(spark, f"{out}/xcorr.saved").dropDuplicates(["e1", "e2"]).count() == 10 == src.read_scores(spark, f"{out}/xcorr.saved").count()
+
+    read = lambda mode: sorted(map(tuple, spark.read.csv(f"{out}/xcorr.{mode}", sep="\t", schema="a string, b string, s double").collect()))
+    for mode in ("PEAKMATCH", "POSTPROCESS", "BRUTEFORCE"):
+        run_mode(spark, replace(cfg, mode=mode, verbose=False), out)
+    plain = read("postprocess"), read("bruteforce")
+    run_mode(spark, replace(cfg, mode="FFTPRECACHE", verbose=False), out)
+    for mode in ("POSTPROCESS", "BRUTEFORCE"):
+        run_mode(spark, replace(cfg, mode=mode, verbose=False), out)
+    for a, b in zip(plain, (read("postprocess"), read("bruteforce")), strict=True):
+        assert [x[:2] for x in a] == [x[:2] for x in b] and [x[2] for x in a] == pytest.approx([x[2] for x in b])
+    # kept transforms are read, not computed again: doubled ones double the scores
+    p = modes.prepared(src.read_series(spark, str(data), cfg), cfg)
+    kept = src.read_spectra(spark, f"{out}/xcorr.fftcache").where("event_id <> 'e'").withColumns({c: F.transform(c, lambda x: 2 * x) for c in ("fwd_re", "fwd_im")})
+    true = {r[:2]: r[2] for r in pairs.score_pairs(p, cfg, approx=False).collect()}
+    for got in (pairs.score_pairs(pairs.with_spectra(p, kept, cfg), cfg, approx=False), pairs.score_candidates(spark.createDataFrame(list(true), "e1 string, e2 string"), pairs.with_spectra(p, kept, cfg), cfg)):
+        assert {r[:2]: r[2] for r in got.collect()} == {k: pytest.approx((1 if k[0] == "e" else 2) * v) for k, v in true.items()}
+
+
+def test_failed_series_are_told(spark, tmp_path, capsys):
+    data = tmp_path / "data"
+    data.mkdir()
+    (data / "good").write_text("\n".join(f"{x:.3f}" for x in np.random.default_rng(2).normal(size=16) * 50))
+    (data / "bad").write_text("1\nx\n")
+    assert len(run_mode(spark, replace(read_config(conf(tmp_path, data)), mode="PLOT1D"), str(tmp_path))) == 1
+    assert "bad: malformed number" in capsys.readouterr().err
+
+
+def test_progress(spark):
+    said = []
+    with progress.Progress(spark, 0.05, said.append):
+        spark.range(0, 400_000_000, 1, 40).selectExpr("bit_xor(xxhash64(id, id + 1))").collect()
+    assert any("tasks" in x for x in said)
+    assert progress.line(10, 40, 5.0) == "10/40 tasks, 5 sec, 500 ms a task, 15 sec left" and progress.line(0, 4, 0.0) == "0/4 tasks, 0 ms"
+
+
+def test_approximate_scores_by_gather_and_by_dots():
+    rng = np.random.default_rng(9)
+    for m, share, stride in ((64, 0.5, 1), (64, 0.0, 1), (3000, 0.4, 1), (3000, 0.4, 5), (700, 0.9, 1)):
+        d = rng.normal(size=(5, m))
+        peaks = tuple(rng.integers(0, m, (5, 2)) for _ in range(2))
+        support = np.flatnonzero(rng.random(m) < share)
+        got = pairs.approximate_scores(pairs.padded(d), np.arange(4), peaks, 4, support, stride)
+        for r in range(4):
+            sums = []
+            for own in peaks:
+                for a in own[r]:
+                    for b in own[4]:
+                        sums.append(stride * sum(d[r, k + a - b] * d[4, k] for k in support[::stride] if 0 <= k + a - b < m))
+            assert got[r] == pytest.approx(max(-1.0, *sums), abs=1e-9)
+
+
+def test_blocks_keep_to_memory_and_cores():
+    for rows, m, cores in ((10, 64, 8), (1500, 64, 8), (10**6, 4000, 4000), (10**6, 64, 64)):
+        p = next_power_of_two(2 * m)
+        blocks = pairs.block_count(rows, m, p, cores)
+        assert -(-rows // blocks) * 2 * (32 * m + 16 * p) <= pairs.TILE_BYTES + 2 * (32 * m + 16 * p) and blocks >= 1
+    assert pairs.block_count(1500, 64, 128, 8) == 8 and pairs.block_count(100, 64, 128, 8, block=10) == 10
+
+
+def test_plots_as_text():
+    cfg = replace(CFG, ramp="SHADED", band_hz=1.0, below_hz=1.0, slice_sec=0.5)
+    bar = chr(0x258A)
+    lines = render.plot_1d("x", [(1.0, 0.1), (2.0, 1.0), (3.0, 0.5)], cfg).split("\n")
+    heights, h = [], 0.0
+    while h < 1.0:
+        heights.append(h)
+        h += 1.0 / 20
+    assert lines[0] == "x" and lines[-1] == "" and lines[-2] == "       hz |1        " and len(lines) == len(heights) + 3 == 23
+    assert lines[1] == f"{'0.95 ':>10} {bar} " and lines[-3] == f"{'0 ':>10}{bar * 3}" and lines[-5] == f"{'0.1 ':>10}{bar * 3 if 0.05 + 0.05 <= 0.1 else ' ' + bar * 2}"
+    few = render.plot_1d("y", [(1.0, 0.7)], cfg).split("\n")
+    assert len(few) - 3 in (20, 21) and {len(render.plot_1d("z", [(1.0, v / 997)], cfg).split("\n")) - 3 for v in range(1, 200)} == {20, 21}
+    grid = render.plot_2d("q", [[(1.0, 0.0), (2.0, 0.3)], [(1.0, 0.07), (2.0, float("nan"))], [(1.0, 0.13), (2.0, 0.25)]], cfg)
+    assert grid == "q\n     2 hz █ █\n     1 hz  ░▒\n      sec |0        \n\n"
+    assert render.plot_2d("e", [], cfg) == "e\n      sec \n\n"
+
+
+def test_report_of_a_cluster_beyond_the_limit(spark):
+    n = 2 * (cluster.LISTED + 1) + 5
+    v = spark.createDataFrame([(i, [0.0], [float(i)]) for i in range(n)], "event_id long, bands array<double>, vec array<double>")
+    members = spark.createDataFrame([(i, 0) for i in range(n)], "event_id long, cluster_id long")
+    got = [tuple(r) for r in cluster.cluster_report(v, members).collect()]
+    heads = {h for h, _, _ in got}
+    assert heads == {0, cluster.LISTED + 1, 2 * (cluster.LISTED + 1)} and len(got) == n - 3 and all(d == e - h for h, e, d in got)
