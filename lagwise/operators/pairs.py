@@ -78,12 +78,17 @@ def block_count(rows: int, samples: int, p: int, cores: int, block: int | None =
     return max(1, least, min(-(-rows // 64), int(np.ceil(np.sqrt(8 * cores)))) if block is None else 1)
 
 
-def tiles(prepared: DataFrame, cfg: Config, block: int | None = None) -> DataFrame:
-    """Each series once for every tile of its block."""
-    rows = prepared.where("error IS NULL")
-    blocks = block_count(rows.count(), cfg.samples, cfg.padded, prepared.sparkSession.sparkContext.defaultParallelism, block)
+def tiles(prepared: DataFrame, cfg: Config, fields: list[str], block: int | None = None) -> DataFrame:
+    """``fields`` of each series once for every tile of its block, dealt out by tile.
+
+    The number of tasks follows the tiles, not the bytes: small tiles are much work all the same, and
+    adaptive execution would put them in a few tasks.
+    """
+    rows, cores = prepared.where("error IS NULL"), prepared.sparkSession.sparkContext.defaultParallelism
+    blocks = block_count(rows.count(), cfg.samples, cfg.padded, cores, block)
     own = rows.withColumn("_block", F.pmod(F.xxhash64("event_id"), F.lit(blocks)).cast("int"))
-    return own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_low", F.least("_block", "_other")).withColumn("_high", F.greatest("_block", "_other"))
+    own = own.select(*fields, "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_other")).withColumn("_low", F.least("_block", "_other")).withColumn("_high", F.greatest("_block", "_other")).drop("_other")
+    return own.repartition(min(blocks * (blocks + 1) // 2, 32 * cores), "_low", "_high")
 
 
 _KEPT = ("fwd_re", "fwd_im", "rev_re", "rev_im")
@@ -132,7 +137,7 @@ def score_pairs(prepared: DataFrame, cfg: Config, approx: bool = True, exact: bo
         ids, block_of = table["event_id"].to_pylist(), table["_block"].to_numpy()
         low, high = table["_low"][0].as_py(), table["_high"][0].as_py()
         d = matrix(table["d"].combine_chunks(), m)
-        peaks = tuple(matrix(table[c].combine_chunks(), cfg.top_k).astype(np.int64) for c in ("max_peaks", "min_peaks"))
+        peaks = tuple(matrix(table[c].combine_chunks(), cfg.top_k).astype(np.int64) for c in ("max_peaks", "min_peaks")) if approx else ()
         spectra = _transforms_of(d, [table[c].combine_chunks() for c in kept_cols], p) if exact else (None, None)
         wide = padded(d) if approx else None
         found: list[list[np.ndarray]] = [[] for _ in names]
@@ -155,8 +160,8 @@ def score_pairs(prepared: DataFrame, cfg: Config, approx: bool = True, exact: bo
         keys = pa.array(ids, table.schema.field("event_id").type)
         return pa.Table.from_arrays([keys.take(pa.array(x.astype(np.int64))) for x in joined[:2]] + [pa.array(x) for x in joined[2:]], names)
 
-    fields = ["event_id", "_block", "_low", "_high", "d", "max_peaks", "min_peaks", "support", *kept_cols]
-    return tiles(prepared, cfg, block).select(*fields).groupBy("_low", "_high").applyInArrow(run, schema)
+    fields = ["event_id", "d", *["max_peaks", "min_peaks", "support"] * approx, *kept_cols]
+    return tiles(prepared, cfg, fields, block).groupBy("_low", "_high").applyInArrow(run, schema)
 
 
 def score_candidates(candidates: DataFrame, prepared: DataFrame, cfg: Config, final: float | None = None) -> DataFrame:

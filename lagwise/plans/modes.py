@@ -105,9 +105,11 @@ def dominant_freqs(events: DataFrame, cfg: Config) -> DataFrame:
     return spectral.dominant(events, cfg)
 
 
-def plots_1d(events: DataFrame, cfg: Config) -> DataFrame:
-    """M8: ``event_id, plot``."""
+def plots_1d(events: DataFrame, cfg: Config, digits: int | None = None) -> DataFrame:
+    """M8: ``event_id, plot``; of means rounded to ``digits``, if given, so that heights do not hang on a last bit."""
     means = spectral.band_means(spectral.spectrum(events, cfg), cfg)
+    if digits is not None:
+        means = means.withColumn("mean", F.round("mean", digits))
     rows = means.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("band", "mean"))).alias("b"))
     if cfg.tiny:
         return render.tiny_plots(rows.select("event_id", F.transform("b", lambda x: x["mean"]).alias("means")))

@@ -192,7 +192,7 @@ def plot_tiny(spark, d):
 
 
 def plot_1d(spark, d):
-    return modes.plots_1d(_prepared(spark, d), CFG)
+    return modes.plots_1d(_prepared(spark, d), CFG, digits=6)
 
 
 def plot_2d(spark, d):
@@ -272,6 +272,17 @@ g3 AS (SELECT event_id, got FROM g2 WHERE i = len(l) + 1)"""
 _AMP = "pa AS (SELECT event_id, max(abs(c)) AS peak_amp FROM u WHERE pos >= 1 GROUP BY event_id)"
 
 
+_P1 = """,
+m AS (SELECT event_id, band, round(mean, 6) AS mean FROM bm),
+top AS (SELECT event_id, max(mean) AS top, count(*) AS bands FROM m GROUP BY event_id),
+h AS (SELECT event_id, CAST(0 AS DOUBLE) AS h FROM top WHERE top > 0 UNION ALL SELECT h.event_id, h.h + top.top / 20 FROM h JOIN top USING (event_id) WHERE h.h + top.top / 20 < top.top),
+hd AS (SELECT event_id, h, CAST(CAST(h AS VARCHAR) AS DECIMAL(30, 20)) * 1000 AS t FROM h),
+hn AS (SELECT event_id, h, CAST(floor(t) AS BIGINT) + CASE WHEN t - floor(t) > 0.5 OR (t - floor(t) = 0.5 AND CAST(floor(t) AS BIGINT) % 2 = 1) THEN 1 ELSE 0 END AS n FROM hd),
+hl AS (SELECT event_id, h, lpad(rtrim(rtrim((n // 1000) || '.' || lpad(CAST(n % 1000 AS VARCHAR), 3, '0'), '0'), '.') || ' ', 10, ' ') AS label FROM hn),
+row_ AS (SELECT event_id, h, label || string_agg(CASE WHEN h <= mean THEN '▊' ELSE ' ' END, '' ORDER BY band) AS line FROM hl JOIN m USING (event_id) GROUP BY event_id, h, label),
+body AS (SELECT event_id, string_agg(line, chr(10) ORDER BY h DESC) AS lines FROM row_ GROUP BY event_id)"""
+
+
 def _with(steps: str, select: str) -> str:
     return f"WITH RECURSIVE {steps}\n{select}"
 
@@ -323,6 +334,16 @@ ORACLES: dict[str, str] = {
     "knn_edges": _with(_U + _F + _D, "SELECT e1, e2, round(distance, 6) AS distance FROM ke"),
     "clusters": _with(_U + _F + _D, "SELECT event_id, cluster_id FROM cl"),
     "cluster_report": _with(_U + _F + _D, "SELECT cl.cluster_id AS head, cl.event_id, round(di.distance, 6) AS distance FROM cl JOIN di ON di.e1 = cl.cluster_id AND di.e2 = cl.event_id"),
+    "plot_1d": _with(
+        _U + _F + _P1,
+        "SELECT event_id, event_id || chr(10) || lines || chr(10) || '       hz ' || (SELECT string_agg(rpad('|' || (range + 1), 10, ' '), '' ORDER BY range) FROM range(64) WHERE range % 10 = 0 AND range < bands) || chr(10) AS plot FROM body JOIN top USING (event_id)",
+    ),
+    "plot_2d": _with(
+        _U + _SL + """,
+g AS (SELECT event_id, slice, band, mean / sqrt(sum(mean * mean) OVER (PARTITION BY event_id, slice)) AS unit FROM sb),
+line AS (SELECT event_id, band, lpad(CAST(band AS BIGINT) || ' hz ', 10, ' ') || string_agg(substr(' ▏▎▍▌▋▊▉█', 1 + CASE WHEN unit IS NULL OR isnan(unit) THEN 0 ELSE least(8, CAST(floor(9 * unit / 0.3) AS INT)) END, 1), '' ORDER BY slice) AS text FROM g GROUP BY event_id, band)""",
+        "SELECT event_id, event_id || chr(10) || string_agg(text, chr(10) ORDER BY band DESC) || chr(10) || '      sec |0        ' || chr(10) || chr(10) AS plot FROM line GROUP BY event_id",
+    ),
     "plot_tiny": _with(_U + _F, "SELECT event_id, string_agg(substr(' ▁▂▃▄▅▆▇█', 1 + CAST(floor(8 * mean / top) AS INT), 1), '' ORDER BY band) || '#' AS plot FROM (SELECT *, max(mean) OVER (PARTITION BY event_id) AS top FROM bm) GROUP BY event_id"),
     "fft_precache": _with(
         _U,
