@@ -250,11 +250,25 @@ def test_warc(spark):
 
     whole = warc.record_bytes("1", "u", b"abc" * 50000) + warc.record_bytes("2", "u", b"", "1")
     assert [r.payload for r in warc.read_records(io.BytesIO(whole), 100)] == [b"abc" * 50000, b""]
-    for bad in (whole[:-3], whole[:50]):
+    import gzip
+
+    plain = gzip.decompress(whole)
+    forged = [plain.replace(b"abcabc", b"abcabd", 1), plain.replace(b"sha256:", b"sha256:0", 1)]
+    for bad in (whole[:-3], whole[:50], *map(gzip.compress, forged)):
         with pytest.raises((ValueError, zlib.error)):
             list(warc.read_records(io.BytesIO(bad)))
 
 
+def test_warc_many_archives_a_task_and_empty_table(spark, tmp_path):
+    rows = [(i, None, random.Random(i).randbytes(300).hex(), 5) for i in range(50)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, id int").coalesce(1)
+    manifest = warc.write_archives(warc.with_targets(pages), f"file://{tmp_path}/w", archive_bytes=2000)
+    assert manifest.count() > 5 and manifest.agg({"records": "sum"}).first()[0] == 50
+    back = {r["id"]: bytes(r["payload"]).decode() for r in warc.read_archives(manifest).collect()}
+    assert back == {r[0]: r[2] for r in rows}
+    assert warc.archive_round_trip(pages.where("page_id < 0")).count() == 0
+
+
 def test_ogg(spark):
     assert ogg.checksum(b"123456789") == 0x89A1897F
     for n in (64, 255 * 64, 4096 * 15, 4096 * 16 + 64, 300_032):
@@ -272,6 +286,12 @@ def test_ogg(spark):
             assert r["payload_sha256"] == hashlib.sha256(raw).hexdigest() and r["tail_crc32"] == zlib.crc32(raw[-64:]) and r["payload_bytes"] == len(raw)
 
 
+def test_media_empty_and_repeated(spark):
+    assert ogg.media_round_trip(table(spark, [])).count() == 0
+    got = ogg.media_round_trip(table(spark, [*AWKWARD, (9, LONG), (10, "Some text here for all.")])).drop("doc_id").collect()
+    assert len(got) == len(AWKWARD) + 2 and len(set(got)) == len({t or "" for _, t in AWKWARD})
+
+
 def test_spans(spark):
     def words(seed, n):
         return " ".join(f"{chr(97 + (seed * 7 + k) % 26)}{seed * 31 + k}" for k in range(n))
@@ -487,6 +507,80 @@ def test_chat(spark):
     assert chat.chat_round_trip(df.where("conv_id > 9")).count() == 0
 
 
+def test_chat_awkward(spark):
+    rows = [(1, 0, "user", "</s>" * 20_000 + "é"), (1, 1, "assistant", "[INST]" * 20_000), (2, None, "assistant", "x"), (2, 0, None, None)]
+    df = spark.createDataFrame([(*r, "a", "b", 3) for r in rows], "conv_id long, turn long, role string, text string, conv string, turns string, level int")
+    got = {r["conv_id"]: r for r in chat.chat_round_trip(df).collect()}
+    assert got[1]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in rows[:2]).encode()).hexdigest()
+    assert got[1]["loss_chars"] == 120_000 and got[2]["turns_sha256"] == hashlib.sha256(b"assistant\nx\n\n\n").hexdigest() and got[2]["loss_chars"] == 1
+
+
+def test_bpe_empty_table(spark):
+    assert bpe.round_trip(table(spark, [])).count() == 0
+
+
+def brute_stages(rows):
+    """Texts by id after each stage, by plain loops. Every row has a letter and one language, so none goes at first."""
+    kept, steps = {}, [dict(rows)]
+    for i, t in rows:
+        kept.setdefault(t.lower(), []).append(i)
+    texts = {max(ids): dict(rows)[max(ids)] for ids in kept.values()}
+    steps.append(texts)
+    root = components(list(texts.items()), 5, 8, 10)
+    texts = {i: t for i, t in texts.items() if root[i][1] == i}
+    steps.append(texts)
+    found = {}
+    for i, t in texts.items():
+        words = t.lower().split()
+        ends = [0] + [k + 1 for k, w in enumerate(words) if w[-1] in ".!?"]
+        for a in ends:
+            for b in ends:
+                if b - a >= span_dedup.LEAST_WORDS and sum(a < e <= b for e in ends) >= span_dedup.LEAST_PIECES:
+                    found.setdefault(tuple(words[a:b]), []).append((i, a, b))
+    gone = {}
+    for places in found.values():
+        for i, a, b in sorted(places)[1:]:
+            gone.setdefault(i, set()).update(range(a, b))
+    texts = {i: " ".join(w for k, w in enumerate(t.split()) if k not in gone.get(i, ())) for i, t in texts.items()}
+    steps.append({i: t for i, t in texts.items() if t or i not in gone})
+    return steps
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    rnd = random.Random(21)
+    sentence = lambda: " ".join(f"{rnd.choice('abcdefgh')}{rnd.choice('klmnop')}{rnd.choice('aeiou')}{rnd.choice('rstvwz')}{rnd.choice('aeiou')}" for _ in range(rnd.randint(3, 7))) + "."
+    shared, rows = [[sentence() for _ in range(8)] for _ in range(3)], []
+    for i in range(120):
+        if rows and i % 4 == 1:  # a copy, in other letters
+            text = rnd.choice(rows)[1].upper()
+        elif rows and i % 4 == 2:  # a near copy
+            own = rnd.choice(rows)[1].split()
+            own[rnd.randrange(len(own) - 1)] = "other"
+            text = " ".join(own)
+        else:
+            text = " ".join([sentence() for _ in range(10)] + rnd.choice((shared[i % 3], [])) + [sentence() for _ in range(10)])
+        rows.append((1000 + i, text))
+    docs = spark.createDataFrame([(i, t, "aa", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    steps = brute_stages(rows)
+    assert len(steps[0]) > len(steps[1]) > len(steps[2]) and steps[3] != steps[2]
+    for (_, stage), want in zip(corpus_pipeline.STAGES[:-1], steps, strict=True):
+        docs = stage(spark, docs, str(tmp_path))
+        assert {r["doc_id"]: " ".join(r["text"].split()) for r in docs.collect()} == want
+    lengths, encode = {}, Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        lengths[r["doc_id"]] = lengths.get(r["doc_id"], 0) + r["length"]
+    assert lengths == {r["doc_id"]: len(encode(r["text"]).ids) + 1 for r in docs.collect()}
+
+
+def test_pipeline_stages_on_awkward_rows(spark, tmp_path):
+    docs = table(spark, AWKWARD).withColumnsRenamed({"id": "_row", "again": "removed", "n": "n_chars"})
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("doc_id < 0"), "").count() == 0
+        kept = sorted((r["doc_id"] or 0) for r in stage(spark, docs, "").select("doc_id").distinct().collect())
+        assert kept == {"language_id": [], "exact_copies": [0, 2, 4, 5, 6, 7], "near_copies": [0, 1, 2, 3, 5, 6, 7], "repeated_spans": [0, 1, 2, 3, 4, 5, 6, 7], "best_fit_packing": [0, 1, 2, 3, 4, 5, 6, 7]}[name], (name, kept)
+
+
 def test_pipeline(spark, corpus, tmp_path):
     docs = spark.createDataFrame([(i, t + ". Und mehr davon.", "en", "s", len(t)) for i, t in corpus], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
