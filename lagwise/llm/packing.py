@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import base64
 import heapq
+import json
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Mapping
+from functools import cached_property
 
 import numpy as np
 import public_tokenizers
@@ -31,39 +33,50 @@ PIECES_A_BUCKET = 50_000
 _encoders: dict[str, Encoder] = {}
 
 
+def added_tokens(json_path: str) -> list[str]:
+    """The strings that the tokenizer takes out of a text before it splits words."""
+    with open(json_path, encoding="utf-8") as f:
+        return [t["content"] for t in json.load(f)["added_tokens"]]
+
+
 class Encoder:
     """Ids of the tokenizer in a JSON file, without added special tokens.
 
-    A text that holds none of the added tokens' strings has the same ids by the rank file of the same
-    vocabulary, whose encoder is three times as fast; the others go to the tokenizer itself.
+    A text that holds none of the ``added`` tokens has the same ids by the rank file of the same
+    vocabulary, whose encoder is three times as fast; the others go to the tokenizer itself, which is loaded
+    when the first of them comes.
     """
 
-    def __init__(self, json_path: str, ranks_path: str):
-        self.whole = tokenizers.Tokenizer.from_file(json_path)
-        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+    def __init__(self, json_path: str, ranks_path: str, added: list[str]):
+        self.json_path, self.added = json_path, added
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.plain = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def whole(self) -> tokenizers.Tokenizer:
+        return tokenizers.Tokenizer.from_file(self.json_path)
+
     def ids(self, text: str) -> list[int]:
         if any(token in text for token in self.added):
             return self.whole.encode(text, add_special_tokens=False).ids
         return self.plain.encode_ordinary(text)
 
 
-def encoder(json_path: str, ranks_path: str) -> Encoder:
+def encoder(json_path: str, ranks_path: str, added: list[str] | None = None) -> Encoder:
     """Kept for each worker."""
     if json_path not in _encoders:
-        _encoders[json_path] = Encoder(json_path, ranks_path)
+        _encoders[json_path] = Encoder(json_path, ranks_path, added_tokens(json_path) if added is None else added)
     return _encoders[json_path]
 
 
 def token_pieces(df: DataFrame, id_col: str, text_col: str, json_path: str, ranks_path: str, capacity: int, closing_id: int = 0) -> DataFrame:
     """Pieces of each document's ids plus ``closing_id``: full pieces from the end, so that only the first may be shorter."""
+    added = added_tokens(json_path)
 
     def run(batches):
         for batch in batches:
-            encode = encoder(json_path, ranks_path).ids
+            encode = encoder(json_path, ranks_path, added).ids
             out: list[tuple] = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.array([*encode(text or ""), closing_id], "<u4")
