@@ -14,15 +14,20 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     """Return ``(node, component)`` for every endpoint of ``edges``; component = smallest node reachable.
 
     Alternating large-star and small-star rounds: each is one aggregation and one equi join, edges
-    never outgrow the input, and O(log^2 n) rounds suffice whatever the diameter. A hub's rows meet
+    never outgrow the input, and O(log^2 n) rounds suffice whatever the diameter; they end as soon as
+    every component is a star, which one aggregation tells and names. A hub's rows meet
     only in joins that adaptive execution can split. Null endpoints and self loops carry no edge; an
     endpoint that has only self loops is its own component. Repeated edges count once. No edges, no rows.
     """
     clean = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
     clean = materialize(clean.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     current = clean.where("u <> v")
-    mark = None
     while True:
+        # done when every component is a star: no node has two roots or is a root and a leaf at once
+        ends = current.select(F.explode(F.array(F.struct(F.col("u").alias("node"), "v"), F.struct(F.col("v").alias("node"), "v"))).alias("e"))
+        named = materialize(ends.groupBy("e.node").agg(F.min("e.v").alias("component"), F.max("e.v").alias("other")), "named")
+        if named.where("component <> other").isEmpty():
+            break
         both = current.select("u", "v").unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -30,14 +35,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         current = materialize(small.select("e.u", "e.v").where("u <> v").distinct(), "star")
-        seen = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(seen) == mark:
-            break
-        mark = tuple(seen)
-    named = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     alone = clean.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("component"))
-    return named.unionByName(roots).unionByName(alone).groupBy("node").agg(F.min("component").alias("component"))
+    return named.select("node", "component").unionByName(alone).groupBy("node").agg(F.min("component").alias("component"))
 
 
 def attach_group(df: DataFrame, keys: Sequence[str], spread: Column, first: dict[str, Column], then: dict[str, Column], salts: int = 32) -> DataFrame:
