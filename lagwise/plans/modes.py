@@ -36,9 +36,9 @@ def postprocess(candidates: DataFrame, events: DataFrame, cfg: Config) -> DataFr
     return pairs.score_candidates(candidates, events, cfg, cfg.final)
 
 
-def verified(events: DataFrame, cfg: Config) -> DataFrame:
+def verified(events: DataFrame, cfg: Config, digits: int | None = None) -> DataFrame:
     """M2 and M4 in one pass over tiles: filter by the approximate score, refine by the exact one, without a table of candidates."""
-    return pairs.score_pairs(events, cfg, candidate=cfg.candidate, final=cfg.final)
+    return pairs.score_pairs(events, cfg, candidate=cfg.candidate, final=cfg.final, digits=digits)
 
 
 def bruteforce(events: DataFrame, cfg: Config) -> DataFrame:

@@ -3,6 +3,7 @@
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -264,3 +265,50 @@ def test_report_of_a_cluster_beyond_the_limit(spark):
     got = [tuple(r) for r in cluster.cluster_report(v, members).collect()]
     heads = {h for h, _, _ in got}
     assert heads == {0, cluster.LISTED + 1, 2 * (cluster.LISTED + 1)} and len(got) == n - 3 and all(d == e - h for h, e, d in got)
+
+
+def copies(n, distinct, m=16, seed=5):
+    """A tile of one block: ``n`` series that are copies of ``distinct``."""
+    base = np.random.default_rng(seed).normal(size=(distinct, m))
+    return base, pa.table({"event_id": pa.array(range(n), pa.int64()), "d": list(base[np.arange(n) % distinct]), "_block": pa.array([0] * n, pa.int32()), "_low": pa.array([0] * n, pa.int32()), "_high": pa.array([0] * n, pa.int32())})
+
+
+def test_equal_series_are_scored_once():
+    base, table = copies(210, 7)
+    first, own = pairs.classes(np.array(table["d"].to_pylist()))
+    assert first.tolist() == list(range(7)) and own.tolist() == [k % 7 for k in range(210)]
+    asked = []
+
+    def score(i, j):
+        asked.extend((int(x), j) for x in i)
+        return i, [(10 * i + j).astype(float)]
+
+    got = [(int(i), int(j), float(v)) for rows, js, (values,) in pairs.walk(table, own, score) for j in js for i, v in zip(rows, values, strict=True) if i < j]
+    assert len(asked) == len(set(asked)) == 49
+    assert sorted(got) == [(i, j, 10.0 * (i % 7) + j % 7) for i in range(210) for j in range(i + 1, 210)]
+
+
+def test_scores_of_copies_against_direct_sums(spark):
+    rng = np.random.default_rng(8)
+    base = [rng.normal(size=16).tolist() for _ in range(3)]
+    rows = [(i, base[0] if i < 30 else base[i % 3], None) for i in range(45)]  # one content is more than a block
+    p = modes.prepared(spark.createDataFrame(rows, SERIES), replace(CFG, top_k=2))
+    of = {r["event_id"]: r for r in p.collect()}
+    for block in (None, 7):
+        got = {(r["e1"], r["e2"]): (r["approx"], r["score"]) for r in pairs.score_pairs(p, replace(CFG, top_k=2), block=block).collect()}
+        assert sorted(got) == [(i, j) for i in range(45) for j in range(i + 1, 45)]
+        for (i, j), (approx, score) in got.items():
+            a, b = of[i], of[j]
+            assert score == pytest.approx(direct_exact(a["d"], b["d"]), abs=1e-12)
+            assert approx == pytest.approx(direct_approx(a["d"], b["d"], (a["max_peaks"], a["min_peaks"]), (b["max_peaks"], b["min_peaks"]), b["support"], 1), abs=1e-12)
+
+
+def test_blocks_are_of_like_sizes_whatever_the_copies():
+    for counts, blocks in (({k: 1 for k in range(1024)}, 8), ({5: 9000, 6: 10, 900: 10}, 9), ({}, 1), ({1: 3}, 4)):
+        first, pieces = pairs.deal(counts, blocks)
+        held = {}
+        for k, n in counts.items():
+            for part in range(pieces[k]):
+                held[first[k] + part] = held.get(first[k] + part, 0) + n / pieces[k]
+        most = max(1, -(-sum(counts.values()) // blocks))
+        assert len(first) == len(pieces) == 1024 and max(held.values(), default=0) <= most + most // 8 and len(held) <= 2 * blocks + 1
