@@ -312,3 +312,12 @@ def test_blocks_are_of_like_sizes_whatever_the_copies():
                 held[first[k] + part] = held.get(first[k] + part, 0) + n / pieces[k]
         most = max(1, -(-sum(counts.values()) // blocks))
         assert len(first) == len(pieces) == 1024 and max(held.values(), default=0) <= most + most // 8 and len(held) <= 2 * blocks + 1
+
+
+def test_a_tile_gives_its_pairs_in_batches():
+    _, table = copies(700, 5)
+    own = np.arange(700) % 5
+    for names, values in ((["e1", "e2", "score"], 1), (["e1", "e2"], 0)):
+        got = list(pairs.listed(table, names, pairs.walk(table, own, lambda i, j, n=values: (i, [i * 1.0] * n))))
+        assert len(got) > 1 and all(0 < b.num_rows < 2 * pairs._BATCH for b in got) and got[0].schema.names == names
+        assert sorted(zip(*(pa.Table.from_batches(got)[c].to_pylist() for c in ("e1", "e2")), strict=True)) == [(i, j) for i in range(700) for j in range(i + 1, 700)]
