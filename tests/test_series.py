@@ -321,3 +321,9 @@ def test_a_tile_gives_its_pairs_in_batches():
         got = list(pairs.listed(table, names, pairs.walk(table, own, lambda i, j, n=values: (i, [i * 1.0] * n))))
         assert len(got) > 1 and all(0 < b.num_rows < 2 * pairs._BATCH for b in got) and got[0].schema.names == names
         assert sorted(zip(*(pa.Table.from_batches(got)[c].to_pylist() for c in ("e1", "e2")), strict=True)) == [(i, j) for i in range(700) for j in range(i + 1, 700)]
+
+
+def test_rounding_is_that_of_sql():
+    x = np.array([0.1234565, -0.1234565, 0.12345649, -1e-9, 0.0, 5e-324, 1.0, -0.9999996])
+    assert pairs.rounded(x, 6).tolist() == [0.123457, -0.123457, 0.123456, 0.0, 0.0, 0.0, 1.0, -1.0] and not np.signbit(pairs.rounded(x, 6)[3])
+    assert pairs.rounded(x, None) is x
