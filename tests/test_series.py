@@ -327,3 +327,22 @@ def test_rounding_is_that_of_sql():
     x = np.array([0.1234565, -0.1234565, 0.12345649, -1e-9, 0.0, 5e-324, 1.0, -0.9999996])
     assert pairs.rounded(x, 6).tolist() == [0.123457, -0.123457, 0.123456, 0.0, 0.0, 0.0, 1.0, -1.0] and not np.signbit(pairs.rounded(x, 6)[3])
     assert pairs.rounded(x, None) is x
+
+
+def test_report_without_a_table_of_pairs(spark, monkeypatch):
+    cfg = replace(CFG, top_k=2, candidate=0.3, final=0.4)
+    own = random_series(spark, 20)
+    p = modes.prepared(own.unionByName(own.withColumn("event_id", F.col("event_id") + 100)), cfg)
+    scores = [(r["e1"], r["e2"], r["approx"], r["score"]) for r in pairs.score_pairs(p, cfg).collect()]
+    saved = spark.createDataFrame([(a, b, s) for a, b, _, s in scores[::2]], "e1 long, e2 long, score double")
+    other = modes.analyse(p, cfg, saved)
+    monkeypatch.setattr(modes, "materialize", lambda *_: pytest.fail("a table of pairs"))
+    found = modes.analyse(p, cfg)
+    positive, negative = ({(a, b) for a, b, x, s in scores if (x > 0.3) == which and (s >= 0.4) != which} for which in (True, False))
+    assert positive and negative
+    for out in (found, other):
+        r = out["report"].first().asDict()
+        assert (r["events"], r["pairs"], r["matches"], r["candidates"]) == (40, 800, sum(s >= 0.4 for *_, s in scores), sum(x > 0.3 for *_, x, _ in scores))
+        assert (r["false_positives"], r["false_negatives"]) == (len(positive), len(negative)) and r["fp_percent"] == 100 * len(positive) // r["matches"]
+        assert {(x["e1"], x["e2"]) for x in out["false_positives"].collect()} == positive and {(x["e1"], x["e2"]) for x in out["false_negatives"].collect()} == negative
+    assert modes.analyse(p.where("event_id < 0"), cfg)["report"].first().asDict() == dict.fromkeys(("events", "matches", "candidates", "false_positives", "false_negatives", "pairs"), 0) | {"fp_percent": None, "fn_percent": None}
