@@ -346,3 +346,25 @@ def test_report_without_a_table_of_pairs(spark, monkeypatch):
         assert (r["false_positives"], r["false_negatives"]) == (len(positive), len(negative)) and r["fp_percent"] == 100 * len(positive) // r["matches"]
         assert {(x["e1"], x["e2"]) for x in out["false_positives"].collect()} == positive and {(x["e1"], x["e2"]) for x in out["false_negatives"].collect()} == negative
     assert modes.analyse(p.where("event_id < 0"), cfg)["report"].first().asDict() == dict.fromkeys(("events", "matches", "candidates", "false_positives", "false_negatives", "pairs"), 0) | {"fp_percent": None, "fn_percent": None}
+
+
+@pytest.mark.parametrize("metric", ["euclid", "cosine"])
+def test_distances_in_tiles_against_direct_sums(spark, metric):
+    rng = np.random.default_rng(6)
+    base = [rng.random(3).tolist() for _ in range(4)] + [[0.5, None, 0.5], None]
+    vec = {k: base[k % 6] for k in range(30)}
+    v = spark.createDataFrame([(k, x) for k, x in vec.items()], "event_id long, vec array<double>")
+
+    def direct(a, b):
+        if a is None or b is None or None in a or None in b:
+            return None
+        return float(np.sqrt(sum((x - y) ** 2 for x, y in zip(a, b, strict=True)))) if metric == "euclid" else 1 - sum(x * y for x, y in zip(a, b, strict=True))
+
+    want = {(i, j): direct(vec[i], vec[j]) for i in range(30) for j in range(i + 1, 30)}
+    got = cluster.pair_distances(v, metric)
+    assert {(r["e1"], r["e2"]): r["distance"] for r in got.collect()} == {k: None if x is None else pytest.approx(x, abs=1e-12) for k, x in want.items()}
+    near = {(r["e1"], r["e2"]): r["distance"] for r in cluster.pair_distances(v, metric, 0.4, 2).collect()}
+    assert near == {k: pytest.approx(round(x, 2), abs=1e-12) for k, x in want.items() if x is not None and x < 0.4}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+    assert cluster.pair_distances(v.where("event_id < 0"), metric).count() == 0
