@@ -368,3 +368,20 @@ def test_distances_in_tiles_against_direct_sums(spark, metric):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Broadcast" not in plan
     assert cluster.pair_distances(v.where("event_id < 0"), metric).count() == 0
+
+
+def test_edges_and_clusters_of_copies(spark):
+    """Copies are at distance 0 whatever their rows' order was, so ties go by id; each content is a cluster."""
+    cfg = replace(CFG, below_hz=1.0, above_hz=5.0, band_hz=0.5, cluster_k=2, cluster_eta=1e-9)
+    base = [r["d"] for r in random_series(spark, 4, 12).collect()]
+    s = spark.createDataFrame([(i, base[i % 4], None) for i in range(60)], SERIES).repartition(7)
+    v = cluster.features(modes.prepared(s, cfg), cfg)
+    vectors = {r["event_id"]: tuple(r["vec"]) for r in v.collect()}
+    assert len(vectors) == 60 and len(set(vectors.values())) == 4
+    edges = {(r["e1"], r["e2"], r["distance"]) for r in cluster.knn_edges(cluster.pair_distances(v, limit=cfg.cluster_eta), 2, cfg.cluster_eta).collect()}
+    want = set()
+    for x in range(60):
+        own = sorted((min(x, y), max(x, y)) for y in range(x % 4, 60, 4) if y != x)
+        want |= {(a, b, 0.0) for a, b in own[:2]}
+    assert edges == want
+    assert {tuple(r) for r in cluster.clusters(v, cfg).collect()} == {(x, x % 4) for x in range(60)}
