@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ TILE_BYTES = 192 << 20  # of both blocks of a tile: samples, padded samples and
 LEAST_SCORE = 5e-324  # the smallest positive double: a search for the largest score begins here
 _CHUNK = 1 << 16  # numbers in one batch of inverse transforms, so that they stay near the core
 _BATCH = 1 << 16  # pairs that leave a tile at once
+FEW = 2_000_000  # ids that may be broadcast
+_LISTED = 1 << 20  # listed pairs of a tile
 _DEALT = 1024  # buckets that are dealt to blocks
 PAIRED = 8192  # series of a block where more would only make tiles that are few and long
 _GATHER = 1 << 16  # samples gathered at once, so that they stay near the core
@@ -101,19 +104,27 @@ def deal(counts: dict[int, int], blocks: int) -> tuple[list[int], list[int]]:
     return first, pieces
 
 
-def tiles(rows: DataFrame, fields: list[str], content: str, count: Callable[[int, int], int]) -> DataFrame:
-    """``fields`` of each series once for every tile of its block, dealt out by tile; ``count`` gives the number of blocks for rows and cores.
+def blocked(rows: DataFrame, content: str, count: Callable[[int, int], int]) -> tuple[DataFrame, int, int]:
+    """(rows with their ``_block``, blocks, rows); ``count`` gives the number of blocks for rows and cores.
 
     Series of equal ``content`` go to the same block, or to few where they are more than a block holds.
-    The number of tasks follows the tiles, not the bytes: small tiles are much work all the same, and
-    adaptive execution would put them in a few tasks.
     """
     cores, bucket = rows.sparkSession.sparkContext.defaultParallelism, F.pmod(F.xxhash64(content), F.lit(_DEALT)).cast("int")
     counts = {r["k"]: r["count"] for r in rows.groupBy(bucket.alias("k")).count().collect()}  # at most _DEALT rows
-    first, pieces = deal(counts, count(sum(counts.values()), cores))
-    blocks = max(a + b for a, b in zip(first, pieces, strict=True))
+    total = sum(counts.values())
+    first, pieces = deal(counts, count(total, cores))
     at = lambda xs: F.element_at(F.lit(xs), bucket + 1)
-    own = rows.withColumn("_block", (at(first) + F.pmod(F.xxhash64("event_id"), at(pieces))).cast("int"))
+    return rows.withColumn("_block", (at(first) + F.pmod(F.xxhash64("event_id"), at(pieces))).cast("int")), max(a + b for a, b in zip(first, pieces, strict=True)), total
+
+
+def tiles(rows: DataFrame, fields: list[str], content: str, count: Callable[[int, int], int]) -> DataFrame:
+    """``fields`` of each series once for every tile of its block (``blocked``), dealt out by tile.
+
+    The number of tasks follows the tiles, not the bytes: small tiles are much work all the same, and
+    adaptive execution would put them in a few tasks.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    own, blocks, _ = blocked(rows, content, count)
     own = own.select(*fields, "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_other")).withColumn("_low", F.least("_block", "_other")).withColumn("_high", F.greatest("_block", "_other")).drop("_other")
     return own.repartition(min(blocks * (blocks + 1) // 2, 32 * cores), "_low", "_high")
 
@@ -300,25 +311,55 @@ def count_pairs(prepared: DataFrame, cfg: Config, block: int | None = None, **ru
     return counts.agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in rules])
 
 
-def score_candidates(candidates: DataFrame, prepared: DataFrame, cfg: Config, final: float | None = None) -> DataFrame:
-    """Exact scores of listed pairs (``e1, e2``), by two equi joins; pairs with an absent series drop out. Kept transforms are used."""
-    rows, kept = prepared.where("error IS NULL"), _KEPT[0] in prepared.columns
-    first, second = (_KEPT[:2], _KEPT[2:]) if kept else ((), ())
-    left, right = rows.select(F.col("event_id").alias("e1"), F.col("d").alias("d1"), *first), rows.select(F.col("event_id").alias("e2"), F.col("d").alias("d2"), *second)
-    both = candidates.select("e1", "e2").dropDuplicates().join(left, "e1").join(right, "e2").select("e1", "e2", "d1", "d2", *first, *second)
-    m, p = cfg.samples, cfg.padded
+def distinct(codes: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct codes in order, place of each code among them), without a sort where they are from few."""
+    if below > max(1 << 24, 4 * len(codes)):
+        return np.unique(codes, return_inverse=True)
+    seen = np.zeros(below, bool)
+    seen[codes] = True
+    place = np.cumsum(seen, dtype=np.int32)
+    return np.flatnonzero(seen), place[codes] - 1
 
-    def run(batches):
-        for batch in batches:
-            parts = [batch.column(k) for k in range(4, batch.num_columns)]
-            (forward,) = _transforms_of(matrix(batch.column(2), m), parts[:2], p, "forward")
-            (reverse,) = _transforms_of(matrix(batch.column(3), m), parts[2:], p, "reverse")
-            s = exact_scores(forward, reverse, p)
-            keep = pa.array(s > final if final is not None else np.ones(len(s), bool))
-            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in (batch.column(0), batch.column(1), pa.array(s))], ["e1", "e2", "score"])
-
-    kinds = dict(both.dtypes)
-    return both.mapInArrow(run, f"e1 {kinds['e1']}, e2 {kinds['e2']}, score double")
+
+def score_candidates(candidates: DataFrame, prepared: DataFrame, cfg: Config, final: float | None = None, digits: int | None = None) -> DataFrame:
+    """Exact scores of listed pairs (``e1, e2``), each once; pairs with an absent series drop out. Kept transforms are used.
+
+    Pairs go to the tile of their series' blocks: a series is sent once for each tile of its block and not once for each
+    pair. Blocks are those of ``blocked``, which the pairs learn by a join on the ids (of few series broadcast), as many as keep a
+    tile's series to ``TILE_BYTES`` and its pairs to about ``_LISTED``; those of a tile are at most the product of its
+    blocks, however they are spread, unless they are listed repeatedly. ``candidates`` is read twice.
+    """
+    kept_cols = [c for c in _KEPT if c in prepared.columns]
+    kind, cores = dict(prepared.dtypes)["event_id"], prepared.sparkSession.sparkContext.defaultParallelism
+    m, p, number = cfg.samples, cfg.padded, candidates.count()
+    rows, blocks, total = blocked(prepared.where("error IS NULL"), "d", lambda n, cores: max(block_count(n, m, p, cores), int(np.ceil(np.sqrt(2 * number / _LISTED)))))
+    ids = rows.select("event_id", "_block")
+    ids = F.broadcast(ids) if total <= FEW else ids
+    tile = [F.least("_a", "_b").alias("_low"), F.greatest("_a", "_b").alias("_high")]
+    pairs = candidates.select("e1", "e2").join(ids.toDF("e1", "_a"), "e1").join(ids.toDF("e2", "_b"), "e2").select(F.col("e1").cast(kind).alias("e1"), F.col("e2").cast(kind).alias("e2"), *tile)
+    own = rows.withColumnRenamed("_block", "_a").select("event_id", "d", *kept_cols, "_a", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b")).select("event_id", "d", *kept_cols, *tile)
+    tasks = min(blocks * (blocks + 1) // 2, 32 * cores)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        names, n = ["e1", "e2", "score"], right.num_rows
+        ids = right["event_id"].combine_chunks()
+        at = [pc.index_in(left[c].combine_chunks(), ids) for c in ("e1", "e2")]
+        both = pc.and_(at[0].is_valid(), at[1].is_valid())
+        code, _ = distinct(at[0].filter(both).to_numpy().astype(np.int64) * n + at[1].filter(both).to_numpy(), n * n)
+        d = matrix(right["d"].combine_chunks(), m)
+        first, class_of = classes(d) if not kept_cols else (np.arange(n), np.arange(n))
+        forward, reverse = _transforms_of(d[first], [right[c].combine_chunks().take(pa.array(first)) for c in kept_cols], p)
+        asked, place = distinct(class_of[code // n] * len(first) + class_of[code % n], len(first) ** 2) if n else (code, code)
+        score, step = np.empty(len(asked)), max(1, _CHUNK // p)
+        for a in range(0, len(asked), step):
+            i, j = np.divmod(asked[a : a + step], len(first))
+            score[a : a + step] = exact_scores(forward[i], reverse[j], p)
+        stay = score > final if final is not None else np.ones(len(score), bool)
+        code, place = code[stay[place]], place[stay[place]]
+        return pa.Table.from_arrays([ids.take(pa.array(code // n if n else code)), ids.take(pa.array(code % n if n else code)), pa.array(rounded(score, digits)[place])], names)
+
+    by = ("_low", "_high")
+    return pairs.repartition(tasks, *by).groupBy(*by).cogroup(own.repartition(tasks, *by).groupBy(*by)).applyInArrow(run, f"e1 {kind}, e2 {kind}, score double")
 
 
 def unresolved(candidates: DataFrame, prepared: DataFrame) -> DataFrame:

@@ -31,9 +31,9 @@ def split_pairs(events: DataFrame, cfg: Config) -> DataFrame:
     return scored.withColumn("accepted", (F.col("score") > cfg.candidate) & ~F.isnan("score"))
 
 
-def postprocess(candidates: DataFrame, events: DataFrame, cfg: Config) -> DataFrame:
+def postprocess(candidates: DataFrame, events: DataFrame, cfg: Config, digits: int | None = None) -> DataFrame:
     """M4: exact scores above the final threshold of listed candidates."""
-    return pairs.score_candidates(candidates, events, cfg, cfg.final)
+    return pairs.score_candidates(candidates, events, cfg, cfg.final, digits)
 
 
 def verified(events: DataFrame, cfg: Config, digits: int | None = None) -> DataFrame:

@@ -385,3 +385,24 @@ def test_edges_and_clusters_of_copies(spark):
         want |= {(a, b, 0.0) for a, b in own[:2]}
     assert edges == want
     assert {tuple(r) for r in cluster.clusters(v, cfg).collect()} == {(x, x % 4) for x in range(60)}
+
+
+def test_listed_pairs_go_to_tiles(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "_LISTED", 64)
+    own = random_series(spark, 10)
+    p = modes.prepared(own.unionByName(own.withColumn("event_id", F.col("event_id") + 100)), CFG)
+    true = {(r["e1"], r["e2"]): r["score"] for r in pairs.score_pairs(p, CFG, approx=False).collect()}
+    chosen = sorted(true)[::2]
+    rows = [*chosen, *chosen[:9], (chosen[1][1], chosen[1][0]), (3, 3), (0, 999), (None, 4)]
+    listed = spark.createDataFrame(rows, "e1 long, e2 long")
+    scored = pairs.score_candidates(listed, p, CFG)
+    got = {(r["e1"], r["e2"]): r["score"] for r in scored.collect()}
+    assert scored.count() == len(got) == len(chosen) + 2  # repeats once, absent and null ids not at all
+    assert {k: got[k] for k in chosen} == {k: pytest.approx(true[k], abs=1e-12) for k in chosen}
+    assert got[3, 3] == pytest.approx(1.0) and got[chosen[1][::-1]] == pytest.approx(true[chosen[1]], abs=1e-12)
+    assert {(r["e1"], r["e2"]): r["score"] for r in pairs.score_candidates(listed, p, CFG, 0.5, 3).collect()} == {k: pytest.approx(round(x, 3), abs=1e-12) for k, x in got.items() if x > 0.5}
+    assert "FlatMapCoGroupsInArrow" in scored._jdf.queryExecution().optimizedPlan().toString()  # series meet pairs by tile
+    monkeypatch.setattr(pairs, "FEW", 0)
+    assert {(r["e1"], r["e2"]): r["score"] for r in pairs.score_candidates(listed, p, CFG).collect()} == got
+    assert [x.tolist() for x in pairs.distinct(np.array([5, 2, 5]), 6)] == [[2, 5], [1, 0, 1]] == [x.tolist() for x in pairs.distinct(np.array([5, 2, 5]), 1 << 60)]
+    assert pairs.score_candidates(listed, p.where("event_id < 0"), CFG).count() == 0 == pairs.score_candidates(listed.where("e1 < 0"), p, CFG).count()
