@@ -406,3 +406,10 @@ def test_listed_pairs_go_to_tiles(spark, monkeypatch):
     assert {(r["e1"], r["e2"]): r["score"] for r in pairs.score_candidates(listed, p, CFG).collect()} == got
     assert [x.tolist() for x in pairs.distinct(np.array([5, 2, 5]), 6)] == [[2, 5], [1, 0, 1]] == [x.tolist() for x in pairs.distinct(np.array([5, 2, 5]), 1 << 60)]
     assert pairs.score_candidates(listed, p.where("event_id < 0"), CFG).count() == 0 == pairs.score_candidates(listed.where("e1 < 0"), p, CFG).count()
+
+
+def test_whole_report_of_a_cluster_beyond_the_limit(spark):
+    n = cluster.LISTED + 5
+    v = spark.createDataFrame([(i, [0.0], [float(i)]) for i in range(n + 1)], "event_id long, bands array<double>, vec array<double>")
+    members = spark.createDataFrame([(i, 0) for i in range(n)] + [(n, n)], "event_id long, cluster_id long")
+    assert sorted(map(tuple, cluster.cluster_report(v, members, listed=None).collect())) == [(0, i, float(i)) for i in range(1, n)]
