@@ -22,6 +22,8 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lagwise.llm.worker import alone, cache
+
 UNDETERMINED = "und"
 SMOOTHING = 0.5
 SEGMENT = 16  # after so many characters the forward vector is rescaled and carried on; in between, pieces as rare as 1e-18 do not underflow
@@ -30,7 +32,7 @@ _BATCH_KEYS = 20_000
 _BATCH_WORDS = 8192
 _LETTERS = regex.compile(r"\p{L}+")
 _MARK = "▁"
-_vocabularies: dict[str, Vocabulary] = {}
+_vocabularies: dict[str, Vocabulary] = cache("langid", {})
 
 
 class Vocabulary:
@@ -107,7 +109,7 @@ def train(rows: DataFrame, path: str | None = None) -> Model:
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], ["lang", "piece", "n"])
 
-    counts = rows.where("lang IS NOT NULL").select("text", "lang").mapInArrow(run, "lang string, piece int, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
+    counts = rows.where("lang IS NOT NULL").select("text", "lang").mapInArrow(alone("langid", run), "lang string, piece int, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counts["lang"].unique())
     total = np.zeros((vocabulary(path).size, len(languages)))
     total[counts["piece"].to_numpy(np.int64), np.searchsorted(languages, counts["lang"].to_numpy(str)) if len(counts) else []] = counts["n"].to_numpy(float)
@@ -206,7 +208,7 @@ def _answered(df: DataFrame, model: Model, text_col: str) -> DataFrame:
                     scores.append(float(p[k, best]) if best >= 0 else 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string()), pa.array(scores, pa.float64())], ["_row", "lang_pred", "score"])
 
-    return rows.mapInArrow(run, f"_row {rows.schema[0].dataType.simpleString()}, lang_pred string, score double")
+    return rows.mapInArrow(alone("langid", run), f"_row {rows.schema[0].dataType.simpleString()}, lang_pred string, score double")
 
 
 def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -43,6 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagwise.llm.shingles import mix, shingle_set
+from lagwise.llm.worker import alone
 from lagwise.operators.graph import attach_group, connected_components
 from lagwise.plans.scratch import materialize
 
@@ -142,7 +143,7 @@ def shingle_sets(rows: DataFrame, width: int, t: Fraction) -> DataFrame:
                 ["id", "n", "s1", "s2", "b0", "b1", "b2", "b3", "t0", "t1"],
             )
 
-    return rows.mapInArrow(run, _SETS)
+    return rows.mapInArrow(alone("ngram_join", run), _SETS)
 
 
 def _changes(x: np.ndarray) -> np.ndarray:
@@ -204,9 +205,9 @@ def _shared(batches):
 def shared_signatures(rows: DataFrame, width: int, t: Fraction) -> DataFrame:
     """(sign, id, hub) of the signatures that two or more of the texts share; one shuffle."""
     schema = "sign long, id long, hub long"
-    entries = rows.mapInArrow(_entries(width, t), schema)
+    entries = rows.mapInArrow(alone("ngram_join", _entries(width, t)), schema)
     place = F.when(F.col("hub").isNull() | (F.col("hub") == F.col("id")), F.col("sign")).otherwise(F.xxhash64("sign", "id"))
-    return entries.repartition(place).sortWithinPartitions("sign", "id").mapInArrow(_shared, schema)
+    return entries.repartition(place).sortWithinPartitions("sign", "id").mapInArrow(alone("ngram_join", _shared), schema)
 
 
 def t_occurrence(query: np.ndarray, lists: dict[int, list[int]], needed: dict[int, int]) -> dict[int, int]:
@@ -289,7 +290,7 @@ def wide_sketches(rows: DataFrame, width: int) -> DataFrame:
                 sketch.append(np.packbits(parity.astype(np.uint8)).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nums, pa.int32()), pa.array(sketch, pa.binary())], ["id", "n", "wide"])
 
-    return rows.mapInArrow(run, "id long, n int, wide binary")
+    return rows.mapInArrow(alone("ngram_join", run), "id long, n int, wide binary")
 
 
 def sketch_difference(a: bytes, b: bytes) -> int:
@@ -315,7 +316,7 @@ def told_apart(pairs: DataFrame, texts: DataFrame, width: int, t: Fraction) -> D
     ids = materialize(pairs.select("id").unionByName(pairs.select(F.col("hub").alias("id"))).distinct(), "ids")
     wide = materialize(wide_sketches(_with_ids(texts, ids), width), "wide")
     both = pairs.join(wide, "id").join(wide.select(F.col("id").alias("hub"), F.col("n").alias("m"), F.col("wide").alias("other")), "hub")
-    return both.select("hub", "id", "n", "m", "wide", "other").mapInArrow(run, "hub long, id long, n int").distinct()
+    return both.select("hub", "id", "n", "m", "wide", "other").mapInArrow(alone("ngram_join", run), "hub long, id long, n int").distinct()
 
 
 def verify(pairs: DataFrame, texts: DataFrame, width: int, t: Fraction) -> DataFrame:
@@ -361,7 +362,7 @@ def occurring_together(sets: DataFrame, texts: DataFrame, width: int, t: Fractio
                 yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(np.full(len(tokens), i))], ["token", "id"])
 
     p, q = t.numerator, t.denominator
-    entries = _with_ids(texts, sets.select("id")).mapInArrow(run, "token long, id long")
+    entries = _with_ids(texts, sets.select("id")).mapInArrow(alone("ngram_join", run), "token long, id long")
     shared = entries.withColumn("len", F.count("*").over(Window.partitionBy("token"))).where("len > 1").join(sets.select("id", "n"), "id")
     own = Window.partitionBy("id")
     placed = shared.withColumn("place", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("len", "token")))

@@ -26,11 +26,12 @@ import tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lagwise.llm.worker import alone, cache
 from lagwise.plans.scratch import materialize
 
 _PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 PIECES_A_BUCKET = 50_000
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, Encoder] = cache("packing", {})
 
 
 def added_tokens(json_path: str) -> list[str]:
@@ -88,7 +89,7 @@ def token_pieces(df: DataFrame, id_col: str, text_col: str, json_path: str, rank
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["id", "piece", "start", "length", "ids_crc32"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, _PIECES)
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(alone("packing", run), _PIECES)
 
 
 def plan(counts: Mapping[int, int], capacity: int) -> tuple[dict[int, list[tuple[int, int, int, int]]], int]:
@@ -167,7 +168,7 @@ def assign(pieces: DataFrame, runs: dict[int, list[tuple[int, int, int, int]]])
                 offset[mine] = row[:, 3] + inside % row[:, 2] * one
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], [*batch.schema.names[:5], "sequence_id", "offset"])
 
-    return fields.mapInArrow(run, f"{_PIECES}, sequence_id long, offset long")
+    return fields.mapInArrow(alone("packing", run), f"{_PIECES}, sequence_id long, offset long")
 
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, json_path: str | None = None, ranks_path: str | None = None) -> DataFrame:

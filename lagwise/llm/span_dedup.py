@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lagwise.llm.worker import alone, cache
 from lagwise.plans.scratch import materialize
 
 LEAST_PIECES, LEAST_WORDS, CUT = 2, 20, 8
@@ -46,7 +47,7 @@ class _Hashes(dict):
         return h
 
 
-_hashes = _Hashes()
+_hashes = cache("span_dedup", _Hashes())
 
 
 def _borders(hashes: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -183,8 +184,8 @@ def _cut(batches):
 def covered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, gone): by document, the runs of pieces that are not the first occurrence."""
     rows = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    spans = rows.mapInArrow(_spans, _SPANS).repartition("h1", "h2", "spread").sortWithinPartitions("h1", "h2", "spread", "id", "place")
-    gone = spans.mapInArrow(_later, "id long, first int, end int")
+    spans = rows.mapInArrow(alone("span_dedup", _spans), _SPANS).repartition("h1", "h2", "spread").sortWithinPartitions("h1", "h2", "spread", "id", "place")
+    gone = spans.mapInArrow(alone("span_dedup", _later), "id long, first int, end int")
     return gone.groupBy("id").agg(F.collect_set(F.struct("first", "end")).alias("gone"))
 
 
@@ -205,7 +206,7 @@ def drop_repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     same = keyed.join(hint(ids), "_key", "left_anti")  # rows without repeats pass straight through
     cut = keyed.join(hint(ids), "_key", "left_semi").join(gone.select(F.col("id").alias("_key"), "gone"), "_key")
     schema = f"_row {keyed.schema['_row'].dataType.simpleString()}, _text string, removed array<struct<start:int,end:int>>"
-    changed = cut.select("_row", "_old", "gone").mapInArrow(_cut, schema)
+    changed = cut.select("_row", "_old", "gone").mapInArrow(alone("span_dedup", _cut), schema)
     changed = changed.select(*[(F.col("_text") if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in df.columns], "removed")
     same = same.select("_row.*", F.expr("cast(array() AS array<struct<start:int,end:int>>)").alias("removed"))
     return same.unionByName(changed)

@@ -9,6 +9,7 @@ from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -588,3 +589,17 @@ def test_pipeline(spark, corpus, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_a_worker_keeps_the_tables_of_one_stage(spark):
+    words = [f"wort{k} nummer{k % 7} haus und hof im langen satz davor und danach etwas mehr als zwanzig worte damit ein lauf entsteht hier am ende." for k in range(64)]
+    df = spark.createDataFrame([(i, t, "de") for i, t in enumerate(words)], "doc_id long, text string, lang string").repartition(8)
+
+    def probe(batches):
+        for batch in batches:
+            held = [len(langid._vocabularies) > 0, len(span_dedup._hashes) > 0, len(packing._encoders) > 0]
+            yield pa.RecordBatch.from_pydict({"held": pa.array([sum(held)] * len(batch), pa.int32())})
+
+    for stage in (langid.keep_identified, span_dedup.drop_repeated_spans, packing.pack):
+        stage(df).write.format("noop").mode("overwrite").save()
+        assert spark.range(0, 64, 1, 8).mapInArrow(probe, "held int").where("held > 1").count() == 0
