@@ -413,3 +413,53 @@ def test_whole_report_of_a_cluster_beyond_the_limit(spark):
     v = spark.createDataFrame([(i, [0.0], [float(i)]) for i in range(n + 1)], "event_id long, bands array<double>, vec array<double>")
     members = spark.createDataFrame([(i, 0) for i in range(n)] + [(n, n)], "event_id long, cluster_id long")
     assert sorted(map(tuple, cluster.cluster_report(v, members, listed=None).collect())) == [(0, i, float(i)) for i in range(1, n)]
+
+
+def tile_of(n, cfg, seed=4):
+    """Both blocks of a tile of random series, prepared."""
+    rng, rows = np.random.default_rng(seed), []
+    for x in rng.exponential(size=(n, cfg.samples)) + 0.2 * rng.normal(size=cfg.samples):
+        u = x - x.mean()
+        u /= np.sqrt((u * u).sum())
+        pos = crossing_peaks(u)
+        order = pos[np.argsort(-u[pos], kind="stable")].astype(np.int32)
+        top, low = order[: cfg.top_k], order[::-1][: cfg.top_k]
+        rows.append((u, top, low, np.flatnonzero((u > u[top[0]] * 0.3) | (u < u[low[0]] * 0.3)).astype(np.int32)))
+    floats, ints = pa.list_(pa.float64()), pa.list_(pa.int32())
+    cols = {k: pa.array(x, t) for k, x, t in zip(("d", "max_peaks", "min_peaks", "support"), zip(*rows, strict=True), (floats, ints, ints, ints), strict=True)}
+    return pa.table({"event_id": pa.array(range(n)), **cols, "_block": pa.array(np.arange(n) % 2), "_low": pa.array(np.zeros(n, int)), "_high": pa.array(np.ones(n, int))})
+
+
+def pairs_of(found):
+    return {(int(i), int(j)): tuple(float(x[k]) for x in values) for rows, js, values in found for j in js for k, i in enumerate(rows) if i < j}
+
+
+@pytest.mark.parametrize("stride,k", [(1, 2), (2, 3)])
+def test_short_series_are_scored_by_products_of_matrices(monkeypatch, stride, k):
+    cfg = replace(CFG, length=24, stride=stride, top_k=k, candidate=0.3, final=0.4)
+    table = tile_of(150, cfg)
+    monkeypatch.setattr(pairs, "NARROW", 0)
+    true = pairs_of(pairs._tile(table, cfg, True, True, [], None, None))
+    monkeypatch.setattr(pairs, "NARROW", 96)
+    for name in ("exact_scores", "approximate_scores"):
+        monkeypatch.setattr(pairs, name, lambda *_: pytest.fail("pair by pair"))
+    monkeypatch.setattr(pairs, "_AHEAD", 16)
+    monkeypatch.setattr(pairs, "_WIDE", 40)
+    near = lambda want: {x: pytest.approx(v, abs=1e-12) for x, v in want.items()}
+    assert len(true) == 75 * 75 and pairs_of(pairs._tile(table, cfg, True, True, [], None, None)) == near(true)
+    assert pairs_of(pairs._tile(table, cfg, False, True, [], None, None)) == near({x: (s,) for x, (_, s) in true.items()})
+    found = {x: (a, s) for x, (a, s) in true.items() if a > 0.3 and s > 0.4}
+    assert found and pairs_of(pairs._tile(table, cfg, True, True, [], 0.3, 0.4)) == near(found)
+    lost = {x: (a, s) for x, (a, s) in true.items() if not a > 0.3 and s >= 0.4}
+    assert lost and pairs_of(pairs._tile(table, cfg, True, True, [], 0.3, None, lambda a, s: s >= 0.4, reject=True)) == near(lost)
+
+
+def test_scores_at_a_threshold_are_told_apart_when_counted():
+    table = tile_of(60, cfg := replace(CFG, length=24, top_k=2))
+    true = pairs_of(pairs._tile(table, cfg, True, True, [], None, None))
+    for a, s in [true[k] for k in sorted(true)[::97]]:  # closer to a score than single precision tells
+        at = replace(cfg, candidate=a - 1e-13, final=s + 1e-13)
+        counted = pairs_of(pairs._tile(table, at, True, True, [], None, None, counted=True))
+        assert {k for k, v in counted.items() if v[0] > at.candidate} == {k for k, v in true.items() if v[0] > at.candidate}
+        assert {k for k, v in counted.items() if v[1] >= at.final} == {k for k, v in true.items() if v[1] >= at.final}
+        assert max(abs(x - y) for k in true for x, y in zip(true[k], counted[k], strict=True)) < 1e-5
