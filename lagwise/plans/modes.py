@@ -79,7 +79,7 @@ def analyse(events: DataFrame, cfg: Config, saved: DataFrame | None = None, digi
         "false_negatives": lambda approx, score: (score >= final) & ~(approx > candidate),
     }
     if saved is None:
-        false = {k: pairs.score_pairs(events, cfg, keep=rules[k], digits=digits) for k in ("false_positives", "false_negatives")}
+        false = {k: pairs.score_pairs(events, cfg, candidate=candidate, reject=k == "false_negatives", keep=rules[k], digits=digits) for k in ("false_positives", "false_negatives")}
         fresh, count = pairs.score_pairs(events, cfg, approx=False), pairs.count_pairs(events, cfg, **rules)
     else:
         approx = materialize(pairs.score_pairs(events, cfg, exact=False), "approx")

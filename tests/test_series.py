@@ -463,3 +463,12 @@ def test_scores_at_a_threshold_are_told_apart_when_counted():
         assert {k for k, v in counted.items() if v[0] > at.candidate} == {k for k, v in true.items() if v[0] > at.candidate}
         assert {k for k, v in counted.items() if v[1] >= at.final} == {k for k, v in true.items() if v[1] >= at.final}
         assert max(abs(x - y) for k in true for x, y in zip(true[k], counted[k], strict=True)) < 1e-5
+
+
+@pytest.mark.parametrize("name", ["false_negatives", "false_positives"])
+def test_false_ones_pass_the_filter_before_their_exact_score(spark, monkeypatch, name):
+    asked = []
+    monkeypatch.setattr(modes.pairs, "score_pairs", lambda *_, **k: asked.append(k))
+    modes.analyse(modes.prepared(random_series(spark), CFG), CFG)[name]
+    own = [k for k in asked if k.get("candidate") == CFG.candidate and k.get("reject", False) == (name == "false_negatives")]
+    assert len(own) == 1 and own[0]["keep"](np.array([1.0]), np.array([0.1])).tolist() == [name == "false_positives"]
