@@ -31,8 +31,10 @@ def split_pairs(events: DataFrame, cfg: Config) -> DataFrame:
     return scored.withColumn("accepted", (F.col("score") > cfg.candidate) & ~F.isnan("score"))
 
 
-def postprocess(candidates: DataFrame, events: DataFrame, cfg: Config, digits: int | None = None) -> DataFrame:
-    """M4: exact scores above the final threshold of listed candidates."""
+def postprocess(candidates: DataFrame | None, events: DataFrame, cfg: Config, digits: int | None = None) -> DataFrame:
+    """M4: exact scores above the final threshold of listed candidates; None: of those that ``peakmatch`` gives, which need no list but go on within their tile."""
+    if candidates is None:
+        return verified(events, cfg, digits).drop("approx")
     return pairs.score_candidates(candidates, events, cfg, cfg.final, digits)
 
 

@@ -472,3 +472,17 @@ def test_false_ones_pass_the_filter_before_their_exact_score(spark, monkeypatch,
     modes.analyse(modes.prepared(random_series(spark), CFG), CFG)[name]
     own = [k for k in asked if k.get("candidate") == CFG.candidate and k.get("reject", False) == (name == "false_negatives")]
     assert len(own) == 1 and own[0]["keep"](np.array([1.0]), np.array([0.1])).tolist() == [name == "false_positives"]
+
+
+def test_candidates_of_the_same_run_need_no_list(spark, monkeypatch):
+    from lagwise.plans import queries
+
+    own = random_series(spark, 20)
+    p = modes.prepared(own.unionByName(own.withColumn("event_id", F.col("event_id") + 100)), replace(queries.CFG, length=16))
+    monkeypatch.setattr(queries, "CFG", cfg := replace(queries.CFG, length=16))
+    true = {(r["e1"], r["e2"]): r["score"] for r in modes.postprocess(modes.peakmatch(p, cfg).select("e1", "e2"), p, cfg, 6).collect()}
+    monkeypatch.setattr(queries, "_prepared", lambda *_: p)
+    monkeypatch.setattr(queries, "materialize", lambda *_: pytest.fail("a table of candidates"))
+    found = queries.postprocess_matches(spark, "")
+    assert true and found.columns == ["e1", "e2", "score"]
+    assert {(r["e1"], r["e2"]): r["score"] for r in found.collect()} == {k: pytest.approx(v, abs=1.1e-6) for k, v in true.items()}
